@@ -6,6 +6,8 @@ A missing reading and a place without coverage stay apart: neither is ever zero.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tarmetric import params as P
@@ -24,6 +26,10 @@ def _axis(rain: DataFrame, name: str) -> DataFrame:
     return near.groupBy("bucket").agg(F.array_sort(F.collect_set("v")).alias("values"))
 
 
+def _offset_from(x: Column) -> Callable[[Column], Column]:
+    return lambda v: F.struct(F.abs(v - x).alias("d"), v.alias("v"))
+
+
 def attach_lattice_cell(
     points: DataFrame, rain: DataFrame, lat: str = "lat", lng: str = "lng", max_deg: float | None = P.RAIN_MATCH_MAX_DEG
 ) -> DataFrame:
@@ -42,7 +48,7 @@ def attach_lattice_cell(
             whole = rain.select(axis).distinct().agg(F.array_sort(F.collect_set(axis)).alias(f"_{axis}_all"))
             out = out.crossJoin(F.broadcast(whole))
             values = F.coalesce(values, F.col(f"_{axis}_all"))
-        best = F.array_min(F.transform(values, lambda v, c=col: F.struct(F.abs(v - F.col(c)).alias("d"), v.alias("v"))))
+        best = F.array_min(F.transform(values, _offset_from(F.col(col))))
         out = out.withColumn(f"_{axis}", best).drop(f"_{axis}s", f"_{axis}_b", f"_{axis}_all")
     away = F.sqrt(F.col("_lat.d") * F.col("_lat.d") + F.col("_lng.d") * F.col("_lng.d"))
     near = F.lit(True) if max_deg is None else away <= max_deg
