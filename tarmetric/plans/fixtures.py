@@ -168,7 +168,7 @@ VIEWS: dict[str, str] = {
                case when c_custkey%3=0 then 'fastest' else 'risk-aware' end as mode
         from {customer} cross join {road_param} where c_custkey%n <> (c_custkey*17+3)%n""",
     "trip_event": """
-        select event_id, user_id as trip_id, cast(ts as timestamp) as at, case when event_type in ('view','error') then 'pause' else 'start' end as action
+        select event_id, user_id as trip_id, cast(ts as timestamp) as at_time, case when event_type in ('view','error') then 'pause' else 'start' end as action
         from {events}""",
 }
 
