@@ -4,8 +4,8 @@
 network (fastest, by distance, risk-aware under some context), so all variants share the rounds
 of one run. ``requests``: ``graph, origin, destination``.
 
-Labels are an append-only table: each round writes only the labels it improved, and reads the
-frontier it extends from the round before. Nothing is kept in driver memory but a round number.
+Labels are an append-only table, compacted now and then: each round writes only the labels it
+improved, and reads the frontier it extends from the round before. Nothing is kept in driver memory but a round number.
 """
 
 from __future__ import annotations
@@ -18,7 +18,10 @@ from tarmetric.functions.rounding import clamp01, round_dp
 from tarmetric.session import drop_path, materialize, scratch_path
 
 NODE = ["graph", "origin", "node"]
-PRUNE_EVERY = 4
+UNITS = 1e12
+HOPS_PER_ROUND = 3
+COMPACT_EVERY = 4
+SHORTCUT_GROWTH = 8
 
 
 def risk_cost(minutes: Column, score: Column, weight: float = P.RISK_COST_WEIGHT) -> Column:
@@ -34,75 +37,118 @@ def weighted(edges: DataFrame, graph: str, cost: Column) -> DataFrame:
     return edges.select(F.lit(graph).alias("graph"), "src", "dst", cost.cast("double").alias("cost"), "segment_id")
 
 
-def _rank() -> Column:
-    """Lower cost, then fewer hops, then the lowest predecessor."""
-    return F.struct("cost", "hops", "pred", "segment_id")
+def shortcut_edges(edges: DataFrame, hops: int) -> DataFrame:
+    """Lowest cost over up to ``hops`` edges per node pair: ``graph, src, dst, units``.
 
+    A round over these covers several hops, so it takes fewer rounds to cross the network. Road
+    junctions have few arms; if the connections through nodes would outgrow ``SHORTCUT_GROWTH``
+    times the edges (a hub), the plain edges are used instead.
+    """
+    arms_in = edges.groupBy("graph", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("_i"))
+    arms_out = edges.groupBy("graph", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("_o"))
+    through = F.coalesce(F.sum(F.col("_i") * F.col("_o")), F.lit(0))
+    size = arms_in.join(arms_out, ["graph", "node"]).agg(through.alias("n")).first()["n"]
+    out = edges.select("graph", "src", "dst", "units")
+    if size > SHORTCUT_GROWTH * edges.count():
+        return out
+    step = edges.select("graph", F.col("src").alias("mid"), F.col("dst").alias("_to"), F.col("units").alias("_u"))
+    for _ in range(hops - 1):
+        longer = (
+            out.withColumnRenamed("dst", "mid")
+            .join(step, ["graph", "mid"])
+            .filter(F.col("src") != F.col("_to"))
+            .select("graph", "src", F.col("_to").alias("dst"), (F.col("units") + F.col("_u")).alias("units"))
+        )
+        out = out.unionByName(longer).groupBy("graph", "src", "dst").agg(F.min("units").alias("units"))
+    return out
+
+
+def _limits(wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """Dearest destination of every origin whose destinations are all reached."""
+    arrived = known.select("graph", "origin", F.col("node").alias("destination"), "units")
+    return (
+        wanted.join(arrived, ["graph", "origin", "destination"], "left")
+        .groupBy("graph", "origin", "destination")
+        .agg(F.min("units").alias("units"))
+        .groupBy("graph", "origin")
+        .agg(F.when(F.count("units") == F.count(F.lit(1)), F.max("units")).alias("_limit"))
+        .filter(F.col("_limit").isNotNull())
+    )
+
+
+def _within(labels: DataFrame, limits: DataFrame) -> DataFrame:
+    kept = labels.join(limits, ["graph", "origin"], "left")
+    return kept.filter(F.col("_limit").isNull() | (F.col("units") <= F.col("_limit"))).drop("_limit")
+
+
+def shortest_paths(
+    edges: DataFrame, requests: DataFrame, hops_per_round: int = HOPS_PER_ROUND, compact_every: int = COMPACT_EVERY
+) -> DataFrame:
+    """Labels ``graph, origin, node, cost, pred, segment_id`` of the shortest-path trees.
 
-def shortest_paths(edges: DataFrame, requests: DataFrame, prune_every: int = PRUNE_EVERY) -> DataFrame:
-    """Labels ``graph, origin, node, cost, hops, pred, segment_id`` of the shortest-path trees.
+    Only improved labels are extended. Every few rounds the label table is compacted, and once
+    all destinations of an origin are reached its labels dearer than the dearest of them are
+    dropped: with positive costs they cannot lie on a best path, so the answer stays exact.
 
-    Only improved labels are extended. Once all destinations of an origin are reached, labels
-    dearer than the dearest of them are dropped: with positive costs they cannot lie on a best
-    path, so the answer stays exact.
+    Costs are summed as integers (10**-12 units). Sums are therefore exact, and the predecessor
+    of a label is found once at the end as the neighbour whose cost plus edge gives its cost
+    (lowest id on a tie); the rounds carry nothing but the key and one number.
     """
     spark = edges.sparkSession
     root = scratch_path(spark, "labels")
-    edges = materialize(edges, "edges")
+    units = F.floor(F.col("cost") * F.lit(UNITS) + F.lit(0.5)).cast("long")
+    plain = materialize(edges.select("graph", "src", "dst", units.alias("units"), "segment_id"), "edges")
+    steps = materialize(shortcut_edges(plain, hops_per_round), "steps")
     wanted = materialize(requests.select("graph", "origin", "destination").distinct(), "requests")
-    none = F.lit(None)
-    src_type, seg_type = edges.schema["src"].dataType, edges.schema["segment_id"].dataType
-    start = wanted.select("graph", "origin").distinct().select(
-        "graph",
-        "origin",
-        F.col("origin").alias("node"),
-        F.lit(0.0).alias("cost"),
-        F.lit(0).alias("hops"),
-        none.cast(src_type).alias("pred"),
-        none.cast(seg_type).alias("segment_id"),
-    )
-    frontier = materialize(start, "labels", f"{root}/round=0")
+    start = wanted.select("graph", "origin").distinct()
+    paths = [f"{root}/round=0"]
+    frontier = start.select("graph", "origin", F.col("origin").alias("node"), F.lit(0).cast("long").alias("units"))
+    frontier = materialize(frontier, "labels", paths[0])
     schema = frontier.schema
-    bound, bound_path, round_no = None, None, 0
+    limits, limits_path, round_no = None, None, 0
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def read() -> DataFrame:
+        return spark.read.schema(schema).parquet(*paths)
+
+    def best_of(labels: DataFrame) -> DataFrame:
+        return labels.groupBy(*NODE).agg(F.min("units").alias("units"))
+
     while not frontier.isEmpty():
-        known = spark.read.schema(schema).parquet(*[f"{root}/round={i}" for i in range(round_no + 1)])
-        if round_no and round_no % prune_every == 0:
-            reached = (
-                wanted.join(known.select("graph", "origin", F.col("node").alias("destination"), "cost"), ["graph", "origin", "destination"], "left")
-                .groupBy("graph", "origin", "destination")
-                .agg(F.min("cost").alias("cost"))
-                .groupBy("graph", "origin")
-                .agg(F.when(F.count("cost") == F.count(F.lit(1)), F.max("cost")).alias("_bound"))
-                .filter(F.col("_bound").isNotNull())
-            )
-            fresh_path = scratch_path(spark, "bound")
-            bound = materialize(reached, "bound", fresh_path)
-            if bound_path:
-                drop_path(spark, bound_path)
-            bound_path = fresh_path
-        reach = frontier.select("graph", "origin", F.col("node").alias("src"), F.col("cost").alias("_c"), "hops").join(
-            edges, ["graph", "src"]
-        )
-        grown = reach.select(
-            "graph",
-            "origin",
-            F.col("dst").alias("node"),
-            (F.col("_c") + F.col("cost")).alias("cost"),
-            (F.col("hops") + 1).alias("hops"),
-            F.col("src").alias("pred"),
-            "segment_id",
-        )
-        if bound is not None:
-            grown = grown.join(bound, ["graph", "origin"], "left").filter(
-                F.col("_bound").isNull() | (F.col("cost") <= F.col("_bound"))
-            ).drop("_bound")
-        best = grown.groupBy(*NODE).agg(F.min(_rank()).alias("_new"))
-        old = known.join(best.select(*NODE), NODE).groupBy(*NODE).agg(F.min(_rank()).alias("_old"))
-        improved = best.join(old, NODE, "left").filter(F.col("_old").isNull() | (F.col("_new") < F.col("_old")))
+        if round_no and round_no % compact_every == 0:
+            fresh = scratch_path(spark, "limits")
+            limits = materialize(_limits(wanted, read()), "limits", fresh)
+            packed = f"{root}/packed={round_no}"
+            materialize(_within(best_of(read()), limits), "labels", packed)
+            for path in [limits_path, *paths[:-1]]:
+                if path:
+                    drop_path(spark, path)
+            limits_path, paths = fresh, [packed, paths[-1]]
+        known = read()
+        # A frontier of few files must not grow into many candidates in few tasks.
+        spread = frontier.repartition(tasks, *NODE).withColumnRenamed("node", "src").withColumnRenamed("units", "_u")
+        grown = spread.join(steps, ["graph", "src"])
+        grown = grown.select("graph", "origin", F.col("dst").alias("node"), (F.col("_u") + F.col("units")).alias("units"))
+        if limits is not None:
+            grown = _within(grown, limits)
+        # One aggregation over candidates and known labels: the candidates are computed once and
+        # combined map-side before the only shuffle of the round.
+        none = F.lit(None).cast("long")
+        both = grown.withColumn("_old", none).unionByName(known.select(*NODE, none.alias("units"), F.col("units").alias("_old")))
+        merged = both.groupBy(*NODE).agg(F.min("units").alias("units"), F.min("_old").alias("_old"))
+        improved = merged.filter(F.col("units").isNotNull() & (F.col("_old").isNull() | (F.col("units") < F.col("_old"))))
         round_no += 1
-        frontier = materialize(improved.select(*NODE, "_new.*"), "labels", f"{root}/round={round_no}")
-    everything = spark.read.schema(schema).parquet(*[f"{root}/round={i}" for i in range(round_no + 1)])
-    return everything.groupBy(*NODE).agg(F.min(_rank()).alias("_l")).select(*NODE, "_l.*")
+        paths.append(f"{root}/round={round_no}")
+        frontier = materialize(improved.select(*NODE, "units"), "labels", paths[-1])
+    final = materialize(_within(best_of(read()), _limits(wanted, read())), "trees")
+    for path in paths:
+        drop_path(spark, path)
+    reached = final.join(
+        plain.select("graph", F.col("src").alias("node"), "dst", F.col("units").alias("_u"), "segment_id"), ["graph", "node"]
+    ).select("graph", "origin", F.col("dst").alias("_v"), (F.col("units") + F.col("_u")).alias("units"), F.col("node").alias("pred"), "segment_id")
+    labels = final.join(reached.withColumnRenamed("_v", "node"), [*NODE, "units"], "left")
+    best = labels.groupBy(*NODE, "units").agg(F.min(F.struct("pred", "segment_id")).alias("_p"))
+    return best.select(*NODE, (F.col("units") / F.lit(UNITS)).alias("cost"), "_p.pred", "_p.segment_id")
 
 
 def route_legs(labels: DataFrame, requests: DataFrame) -> DataFrame:
@@ -113,26 +159,31 @@ def route_legs(labels: DataFrame, requests: DataFrame) -> DataFrame:
     log2(h) rounds instead of h.
     """
     spark = labels.sparkSession
-    tree = materialize(labels.select(*NODE, "hops", "pred", "segment_id"), "tree")
-    jump = tree.filter(F.col("pred").isNotNull()).select(*NODE, F.col("pred").alias("up"))
     key = ["graph", "origin", "destination"]
-    on_path = requests.select(*key).distinct().withColumn("node", F.col("destination"))
-    on_path = on_path.join(tree.select(*NODE), NODE, "left_semi").select(*key, "node")
-    longest = on_path.join(tree, NODE).agg(F.coalesce(F.max("hops"), F.lit(0)).alias("h"))
-    remaining = longest.first()["h"]
-    step, old = 1, []
-    while step < remaining + 1:
-        paths = [scratch_path(spark, "path"), scratch_path(spark, "jump")]
-        further = on_path.join(jump, NODE).select(*key, F.col("up").alias("node"))
-        grown = materialize(on_path.unionByName(further), "path", paths[0])
-        hop = jump.select("graph", "origin", F.col("node").alias("up"), F.col("up").alias("up2"))
-        jump = materialize(jump.join(hop, ["graph", "origin", "up"]).select(*NODE, F.col("up2").alias("up")), "jump", paths[1])
-        on_path = grown
-        for path in old:
-            drop_path(spark, path)
-        old, step = paths, step * 2
-    legs = on_path.join(tree, NODE).filter(F.col("pred").isNotNull())
-    return legs.select(*key, (F.col("hops") - 1).alias("leg_idx"), F.col("pred").alias("u"), F.col("node").alias("v"), "segment_id")
+    tree = labels.filter(F.col("pred").isNotNull())
+    jump = materialize(tree.select(*NODE, F.col("pred").alias("up")), "jump")
+    root = scratch_path(spark, "path")
+    schema = "graph string, origin {0}, destination {0}, node {0}, back int".format(labels.schema["node"].dataType.simpleString())
+    ends = requests.select(*key).distinct().withColumn("node", F.col("destination")).withColumn("back", F.lit(0))
+    parts, step, used = [f"{root}/step=0"], 1, None
+    newest = materialize(ends.join(tree.select(*NODE), NODE, "left_semi").select(*key, "node", "back"), "path", parts[0])
+    while not newest.isEmpty():
+        on_path = spark.read.schema(schema).parquet(*parts)
+        further = on_path.join(jump, NODE).select(*key, F.col("up").alias("node"), (F.col("back") + step).alias("back"))
+        parts.append(f"{root}/step={step}")
+        newest = materialize(further, "path", parts[-1])
+        hop = jump.select("graph", "origin", F.col("node").alias("up"), F.col("up").alias("_up"))
+        path = scratch_path(spark, "jump")
+        jump = materialize(jump.join(hop, ["graph", "origin", "up"]).select(*NODE, F.col("_up").alias("up")), "jump", path)
+        if used:
+            drop_path(spark, used)
+        used, step = path, step * 2
+    on_path = spark.read.schema(schema).parquet(*parts)
+    longest = on_path.groupBy(*key).agg(F.max("back").alias("_n"))
+    legs = on_path.join(tree.select(*NODE, "pred", "segment_id"), NODE).join(longest, key)
+    return legs.select(
+        *key, (F.col("_n") - 1 - F.col("back")).alias("leg_idx"), F.col("pred").alias("u"), F.col("node").alias("v"), "segment_id"
+    )
 
 
 ROUTE = ["graph", "origin", "destination"]

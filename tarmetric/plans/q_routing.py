@@ -144,7 +144,7 @@ define("ox_cmp_calm", compare_sql("ox_sum_calm", "calm"))
 
 
 def found(w: World, graph: str) -> DataFrame:
-    own = labels(w).filter(F.col("graph") == graph).select("origin", F.col("node").alias("destination"), "cost", "hops")
+    own = labels(w).filter(F.col("graph") == graph).select("origin", F.col("node").alias("destination"), "cost")
     return pairs(w).join(own, OD)
 
 
