@@ -6,7 +6,7 @@ import importlib
 
 from tarmetric.plans import registry
 
-MODULES = ["q_sources", "q_network", "q_geometry", "q_spatial", "q_rain", "q_risk", "q_routing", "q_intake", "q_study"]
+MODULES = ["q_sources", "q_network", "q_geometry", "q_spatial", "q_rain", "q_risk", "q_routing", "q_intake", "q_study", "q_streaming"]
 
 
 def _load() -> None:

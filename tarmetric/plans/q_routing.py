@@ -148,10 +148,10 @@ def found(w: World, graph: str) -> DataFrame:
     return pairs(w).join(own, OD)
 
 
-@query("h1_fastest_paths", "select origin, destination, " + rnd("cost", 5) + " as cost, legs, node_path from {ox_route} where graph='fast'")
+@query("h1_fastest_paths", "select origin, destination, " + rnd("cost", 6) + " as cost, legs, node_path from {ox_route} where graph='fast'")
 def fastest_paths(w: World) -> DataFrame:
     path = routes(w).filter("graph = 'fast'").select(*OD, "legs", "node_path")
-    return found(w, "fast").select(*OD, round_dp("cost", 5).alias("cost")).join(path, OD)
+    return found(w, "fast").select(*OD, round_dp("cost", 6).alias("cost")).join(path, OD)
 
 
 @query("h2_shortest_by_distance", "select origin, destination, " + rnd("cost", 4) + " as cost from {ox_found} where graph='distance'")
