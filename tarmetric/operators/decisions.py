@@ -87,13 +87,21 @@ def decide(comparison: DataFrame, previous: DataFrame, margin: float = P.HYSTERE
     )
 
 
+def affected_segments(active: DataFrame) -> DataFrame:
+    """Network-wide segments under an active hazard with the number of hazards on each."""
+    return active.groupBy("segment_id").agg(F.count_distinct("hazard_id").alias("active_hazards"))
+
+
 def attach_hazards(decisions: DataFrame, active: DataFrame) -> DataFrame:
-    """Network-wide affected segments and active hazard ids (sorted text) on every decision."""
-    ids = active.agg(
-        F.concat_ws(",", F.sort_array(F.collect_set("segment_id"))).alias("affected_segment_ids"),
-        F.concat_ws(",", F.transform(F.sort_array(F.collect_set("hazard_id")), lambda x: x.cast("string"))).alias("active_hazard_ids"),
+    """How many segments and hazards were in force for each decision.
+
+    The lists themselves belong to the evaluation, not to a pair: they stay a table
+    (:func:`affected_segments`) instead of one long value repeated on every row.
+    """
+    totals = active.agg(
+        F.count_distinct("segment_id").alias("affected_segments"), F.count_distinct("hazard_id").alias("active_hazards")
     )
-    return decisions.crossJoin(F.broadcast(ids))
+    return decisions.crossJoin(F.broadcast(totals))
 
 
 def corridor_pairs(places: DataFrame, position: str, node: str = "node_id") -> DataFrame:

@@ -246,6 +246,9 @@ def weak_components(nodes: DataFrame, segments: DataFrame) -> DataFrame:
         hooked = labels.join(low, "node_id", "left").select(
             "node_id", F.col("component").alias("old"), F.least("component", "near").alias("component")
         )
+        # Written, because the step below reads it more than once.
+        hooked_path = scratch_path(spark, "component")
+        hooked = materialize(hooked, "component", hooked_path)
         # Only labels that are themselves relabelled matter, and each is looked up once however
         # many nodes carry it.
         used = hooked.select("component").distinct()
@@ -262,6 +265,7 @@ def weak_components(nodes: DataFrame, segments: DataFrame) -> DataFrame:
         written = materialize(step, "component", next_path)
         moved = not written.filter("moved").isEmpty()
         drop_path(spark, path)
+        drop_path(spark, hooked_path)
         labels, path = written.select("node_id", "component"), next_path
         if not moved:
             return labels

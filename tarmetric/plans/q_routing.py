@@ -262,12 +262,16 @@ def route_decisions(w: World) -> DataFrame:
 
 
 @query("h13_decision_hazards", """
-    select origin, destination, decision, (select string_agg(s, ',' order by s) from (select distinct segment_id as s from {ox_active})) as affected_segment_ids,
-    (select string_agg(cast(h as varchar), ',' order by h) from (select distinct hazard_id as h from {ox_active})) as active_hazard_ids from {ox_decision}""")
+    select origin, destination, decision, (select count(distinct segment_id) from {ox_active}) as affected_segments, (select count(distinct hazard_id) from {ox_active}) as active_hazards from {ox_decision}""")
 def decision_hazards(w: World) -> DataFrame:
     return D.attach_hazards(decisions(w).select(*OD, "decision"), active_hazards(w))
 
 
+@query("h13_affected_segments", "select segment_id, count(distinct hazard_id) as active_hazards from {ox_active} group by 1")
+def affected_segments(w: World) -> DataFrame:
+    return D.affected_segments(active_hazards(w))
+
+
 @query("h14_corridor_legs", """
     select leg_no, c.origin, c.destination, outcome, fastest_score, recommended_score from {ox_corridor} c join {ox_cmp_live} m on m.origin=c.origin and m.destination=c.destination""")
 def corridor_legs(w: World) -> DataFrame:
