@@ -106,7 +106,7 @@ def shortest_paths(
     frontier = materialize(frontier, "labels", paths[0])
     schema = frontier.schema
     limits, limits_path, round_no = None, None, 0
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
 
     def read() -> DataFrame:
         return spark.read.schema(schema).parquet(*paths)
