@@ -12,6 +12,7 @@ from tarmetric.functions.geo import interpolate_along
 from tarmetric.functions.risk import class_score, hazard_level, lookup_or_fail
 from tarmetric.functions.rounding import round_dp
 from tarmetric.operators.gridjoin import containing_polygons
+from tarmetric.session import materialize
 
 
 def unknown_classes(polygons: DataFrame) -> DataFrame:
@@ -51,9 +52,9 @@ def segment_samples(segments: DataFrame) -> DataFrame:
     return spread.withColumn("_p", spot).select("segment_id", "frac", F.col("_p.lat").alias("lat"), F.col("_p.lng").alias("lng"))
 
 
-def segment_zone(segments: DataFrame, polygons: DataFrame) -> DataFrame:
+def segment_zone(samples: DataFrame, polygons: DataFrame) -> DataFrame:
     """Highest class over the covered samples of each segment (first sample on a tie)."""
-    sampled = point_zone(segment_samples(segments), polygons, ["segment_id", "frac"])
+    sampled = point_zone(samples, polygons, ["segment_id", "frac"])
     best = F.max_by(F.struct("hazard_class", "hazard_score"), F.struct("hazard_score", -F.col("frac")))
     rows = sampled.groupBy("segment_id").agg(
         best.alias("_z"), F.count_if(F.col("status") == "ok").alias("covered_samples")
@@ -79,8 +80,10 @@ def segment_zones(segments: DataFrame, landslide_polygons: DataFrame, flood_poly
             F.col("status").alias(f"{kind}_hazard_status"),
         )
 
-    slides = named(segment_zone(segments, landslide_polygons), "landslide")
-    floods = named(segment_zone(segments, flood_polygons), "flood")
+    # Both layers read the same points; they are interpolated once.
+    samples = materialize(segment_samples(segments), "zone-samples")
+    slides = named(segment_zone(samples, landslide_polygons), "landslide")
+    floods = named(segment_zone(samples, flood_polygons), "flood")
     return slides.join(floods, "segment_id")
 
 
