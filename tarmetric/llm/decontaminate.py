@@ -19,10 +19,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tarmetric.llm.common import ascii_lower, row_key, table
+from tarmetric.llm.common import ascii_lower, let, row_key, table
 
 WINDOW, SHARE = 5, 0.8
-TOKEN = r"[.!?]+|[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+TOKEN = r"[.!?]|[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # Unit words.
 UNITS = (
     "mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "mg", "g", "kg", "gram", "grams",
@@ -34,49 +34,53 @@ UNITS = (
 
 def typed_tokens(text: Column) -> Column:
     """(w: lower-cased word, t: null or its placeholder) of a text's words."""
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
     units = F.array(*[F.lit(u) for u in UNITS])
 
     def kind(w: Column, i: Column, before: Column) -> Column:
-        plain = (w >= "a") & (w < "{")
-        inside = (i > 0) & ~before.isin(".", "!", "?") & ~before.rlike(r"^[.!?]+$")
+        number = (before >= "0") & (before < ":")
         return (
-            F.when(plain & (before.isNull() | (before > "9") | (before < "0")), F.lit(None).cast("string"))
-            .when(plain, F.when(before.rlike(r"^[0-9]+$") & F.array_contains(units, w), "<unit>"))
-            .when(w.rlike(r"^[0-9]+$"), "<num>")
-            .when(inside & w.rlike(r"^\p{Lu}\p{Ll}+$"), "<name>")
+            F.when((w >= "a") & (w < "{"), F.when(number & before.rlike("^[0-9]+$") & F.array_contains(units, w), "<unit>"))
+            .when((w >= "0") & (w < ":"), F.when(w.rlike("^[0-9]+$"), "<num>"))
+            .when((i > 0) & ~before.isin(".", "!", "?") & w.rlike(r"^\p{Lu}\p{Ll}+$"), "<name>")
         )
 
-    marked = F.transform(tokens, lambda w, i: F.struct(ascii_lower(w).alias("w"), kind(w, i, F.get(tokens, i - 1)).alias("t")))
-    return F.filter(marked, lambda x: ~x["w"].rlike(r"^[.!?]"))
+    def marked(tokens: Column) -> Column:
+        return F.transform(tokens, lambda w, i: F.struct(ascii_lower(w).alias("w"), kind(w, i, F.get(tokens, i - 1)).alias("t")))
+
+    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+    return F.filter(let(tokens, marked), lambda x: ~x["w"].isin(".", "!", "?"))
+
+
+def windows(tokens: Column, n: int = WINDOW) -> Column:
+    """(at, h, slots) of every window: of its words, and again of its template where it has a placeholder."""
+
+    def each(t: Column, words: Column, shown: Column) -> Column:
+        width = F.least(F.size(words), F.lit(n))
+        places = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - width)).otherwise(F.array().cast("array<int>"))
+        none = F.array().cast("array<string>")
+        plain = F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i + 1, width)).alias("h"), none.alias("slots")))
+        held = F.filter(places, lambda i: F.slice(words, i + 1, width) != F.slice(shown, i + 1, width))
 
+        def templated(i: Column) -> Column:
+            slots = F.transform(F.filter(F.slice(t, i + 1, width), lambda x: x["t"].isNotNull()), lambda x: x["w"])
+            return F.struct(i.alias("at"), F.xxhash64(F.slice(shown, i + 1, width)).alias("h"), slots.alias("slots"))
 
-def windows(tokens: str, n: int = WINDOW) -> Column:
-    """(at, hash, slots) of every window, template windows after those of words."""
-    t = F.col(tokens)
-    size = F.size(t)
-    width = F.least(size, F.lit(n))
-    last = F.when(size > 0, size - width)
-    words, shown = F.transform(t, lambda x: x["w"]), F.transform(t, lambda x: F.coalesce(x["t"], x["w"]))
-    places = F.coalesce(F.sequence(F.lit(0), last), F.array().cast("array<int>"))
-    no_slots = F.array().cast("array<string>")
-    plain = F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i + 1, width)).alias("h"), no_slots.alias("slots")))
-    held = F.filter(places, lambda i: F.exists(F.slice(t, i + 1, width), lambda x: x["t"].isNotNull()))
+        return F.when(words == shown, plain).otherwise(F.concat(plain, F.transform(held, templated)))
 
-    def templated(i: Column) -> Column:
-        slots = F.transform(F.filter(F.slice(t, i + 1, width), lambda x: x["t"].isNotNull()), lambda x: x["w"])
-        return F.struct(i.alias("at"), F.xxhash64(F.slice(shown, i + 1, width)).alias("h"), slots.alias("slots"))
+    def both(t: Column) -> Column:
+        words, shown = F.transform(t, lambda x: x["w"]), F.transform(t, lambda x: F.coalesce(x["t"], x["w"]))
+        return let(F.struct(t.alias("t"), words.alias("words"), shown.alias("shown")), lambda s: each(s["t"], s["words"], s["shown"]))
 
-    return F.concat(plain, F.transform(held, templated))
+    return let(tokens, both)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """_k1, _k2, doc_id, item_id, shared_windows, item_windows, containment, slot_consistency of leaked pairs."""
     items = benchmark.select(F.col("item_id"), F.xxhash64("item_id", "text").alias("_item"), typed_tokens(F.col("text")).alias("tokens")).distinct()
-    items = items.select("item_id", "_item", F.greatest(F.size("tokens") - WINDOW + 1, F.lit(1)).alias("item_windows"), F.inline(windows("tokens")))
+    items = items.select("item_id", "_item", F.greatest(F.size("tokens") - WINDOW + 1, F.lit(1)).alias("item_windows"), F.inline(windows(F.col("tokens"))))
     items = items.select("item_id", "_item", "item_windows", F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"))
     rows = docs.select("doc_id", *row_key(), typed_tokens(F.col("text")).alias("tokens"))
-    rows = rows.select("doc_id", "_k1", "_k2", F.inline(windows("tokens"))).select("doc_id", "_k1", "_k2", "h", "slots")
+    rows = rows.select("doc_id", "_k1", "_k2", F.inline(windows(F.col("tokens")))).select("doc_id", "_k1", "_k2", "h", "slots")
     met = rows.join(items, "h")
     pair = ["doc_id", "_k1", "_k2", "item_id", "_item"]
     hits = met.groupBy(*pair, "item_windows", "item_at").agg(F.count("*").alias("_n"))
