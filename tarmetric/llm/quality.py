@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tarmetric.llm.common import table
 
 BUCKETS, DIMS, NONZERO, WINDOW, SEED = 8192, 32, 4, 2, 7
+POOLED = 2 * DIMS + 4
 SLICE = 100_000
 WORDS_KEPT = 300_000
 TRAIN_ROWS = 8192
@@ -108,18 +109,21 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pooled(text: str | None, vectors: np.ndarray) -> np.ndarray:
-    """Mean and spread of the word vectors, length of the mean, logarithm of the number of words."""
+    """Mean and spread of the word vectors, length of the mean, logarithm of the number of words, and how alike
+    neighbouring words are: the mean product of their vectors and the share of equal neighbours."""
     ids = word_ids(text)
     if not len(ids):
-        return np.zeros(2 * DIMS + 2)
-    total, square = np.zeros(DIMS), np.zeros(DIMS)
+        return np.zeros(POOLED)
+    total, square, alike = np.zeros(DIMS), np.zeros(DIMS), 0.0
     for start in range(0, len(ids), SLICE):
-        part = vectors[ids[start : start + SLICE]]
+        part = vectors[ids[start : start + SLICE + 1]]
+        alike += float(np.einsum("ij,ij->", part[1:], part[:-1], dtype=np.float64))
+        part = part[:SLICE]
         total += part.sum(axis=0, dtype=np.float64)
         square += np.einsum("ij,ij->j", part, part, dtype=np.float64)
     mean = total / len(ids)
     spread = np.sqrt(np.maximum(square / len(ids) - mean**2, 0))
-    return np.concatenate([mean, spread, [np.linalg.norm(mean), np.log1p(len(ids)) / 10]])
+    return np.concatenate([mean, spread, [np.linalg.norm(mean), np.log1p(len(ids)) / 10, alike / len(ids), np.mean(ids[1:] == ids[:-1]) if len(ids) > 1 else 0.0]])
 
 
 @dataclass
@@ -202,7 +206,7 @@ class Scorer:
     def scores(self, texts: pd.Series) -> pd.Series:
         if self.net is None:
             return pd.Series(np.full(len(texts), self.prior))
-        x = np.stack([pooled(t, self.vectors) for t in texts]) if len(texts) else np.zeros((0, 2 * DIMS + 2))
+        x = np.stack([pooled(t, self.vectors) for t in texts]) if len(texts) else np.zeros((0, POOLED))
         return pd.Series(self.net.scores(x))
 
 
