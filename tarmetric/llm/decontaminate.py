@@ -8,7 +8,7 @@ its slots are replaced consistently: the occurrences of one benchmark value have
 document for at least 80 % of the values.
 
 DataFrame functions only; documents' windows are dealt by hash where the benchmark is not small enough to send,
-and matches are added up before they are shuffled. Nothing is sent without Spark's own size check.
+and matches are written once and added up before they are shuffled. Nothing is sent without Spark's own size check.
 
 Cases: null and empty texts have no windows and leak nothing; an item of fewer than five words is one window;
 items without words are never found; equal items are all reported; document rows equal in id and text share
@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tarmetric.llm.common import ascii_lower, let, row_key, table
+from tarmetric.session import materialize
 
 WINDOW, SHARE = 5, 0.8
 TOKEN = r"[.!?]|[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -81,7 +82,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> D
     items = items.select("item_id", "_item", "item_windows", F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"))
     rows = docs.select("doc_id", *row_key(), typed_tokens(F.col("text")).alias("tokens"))
     rows = rows.select("doc_id", "_k1", "_k2", F.inline(windows(F.col("tokens")))).select("doc_id", "_k1", "_k2", "h", "slots")
-    met = rows.join(items, "h")
+    met = materialize(rows.join(items, "h"), "window-matches")  # texts are read once for windows and slots
     pair = ["doc_id", "_k1", "_k2", "item_id", "_item"]
     hits = met.groupBy(*pair, "item_windows", "item_at").agg(F.count("*").alias("_n"))
     shared = hits.groupBy(*pair, "item_windows").agg(F.count("*").alias("shared_windows")).withColumn("containment", F.col("shared_windows") / F.col("item_windows"))
