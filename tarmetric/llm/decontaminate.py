@@ -10,7 +10,7 @@ document for at least 80 % of the values.
 DataFrame functions only; documents' windows are dealt by hash where the benchmark is not small enough to send,
 and matches are written once and added up before they are shuffled. Nothing is sent without Spark's own size check.
 
-Cases: null and empty texts have no windows and leak nothing; an item of fewer than five words is one window;
+Cases: null and empty texts have no windows and leak nothing; an item of fewer than five words is one window, met only by texts of as many words;
 items without words are never found; equal items are all reported; document rows equal in id and text share
 their decision and are reported once; a window that repeats counts once; other columns are kept by the filter.
 """
