@@ -67,13 +67,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, run_r
     runs = keys.groupBy("rule_host").agg(F.ceil(F.count("*") / run_rows).cast("int").alias("runs"))
     dealt = keys.join(runs, "rule_host").select("rule_host", F.pmod(F.xxhash64("host", "path"), F.col("runs")).cast("int").alias("run"), "host", "path")
     copies = nested.withColumnRenamed("host", "rule_host").join(runs, "rule_host").select("rule_host", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.col("path").alias("key"), "stack")
-    # one sorted sequence of rules and keys; a rule comes before the keys equal to it
+    # one sorted sequence of rules and keys a lane; a rule comes before the keys equal to it. A lane is one column, so
+    # that a partitioning by rule_host alone does not serve and busy hosts are spread
+    lane = F.concat_ws("#", "run", "rule_host")
     stack_type = nested.schema["stack"].dataType
-    events = copies.select("rule_host", "run", "key", F.lit(0).alias("kind"), "stack", F.lit(None).cast("string").alias("host")).union(
-        dealt.select("rule_host", "run", F.col("path").alias("key"), F.lit(1).alias("kind"), F.lit(None).cast(stack_type).alias("stack"), "host")
+    events = copies.select(lane.alias("lane"), "rule_host", "key", F.lit(0).alias("kind"), "stack", F.lit(None).cast("string").alias("host")).union(
+        dealt.select(lane.alias("lane"), "rule_host", F.col("path").alias("key"), F.lit(1).alias("kind"), F.lit(None).cast(stack_type).alias("stack"), "host")
     )
     # the sorted key is reversed host + path; the host part is the same inside a run
-    sweep = W.partitionBy("rule_host", "run").orderBy("key", "kind").rowsBetween(W.unboundedPreceding, 0)
+    sweep = W.partitionBy("lane").orderBy("key", "kind").rowsBetween(W.unboundedPreceding, 0)
     active = F.last("stack", ignorenulls=True).over(sweep)
     swept = events.select("rule_host", "host", "kind", F.col("key").alias("path"), active.alias("active")).where("kind = 1")
     fits = F.filter("active", lambda r: F.col("path").startswith(r["path"]))
