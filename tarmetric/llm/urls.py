@@ -29,7 +29,7 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 DEFAULT = "allow"
-RUN_ROWS = 20_000
+RUN_ROWS = 2_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
