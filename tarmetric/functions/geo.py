@@ -161,8 +161,8 @@ def join_pieces(pieces: Column) -> Column:
     )
 
 
-def in_ring(lat: Column, lng: Column, ring: Column) -> Column:
-    """Point in polygon by edge crossings over a closed ring; a point on the boundary is outside."""
+def in_ring(lat: Column, lng: Column, ring: Column, edge: bool = False) -> Column:
+    """Point in polygon by edge crossings over a closed ring; a point on the boundary is inside only with ``edge``."""
 
     def cross(e: Column) -> Column:
         a, b = e["a"], e["b"]
@@ -181,7 +181,7 @@ def in_ring(lat: Column, lng: Column, ring: Column) -> Column:
 
     edges = edges_of(ring)
     odd = F.size(F.filter(edges, cross)) % 2 == 1
-    return odd & ~F.exists(edges, touches)
+    return odd | F.exists(edges, touches) if edge else odd & ~F.exists(edges, touches)
 
 
 def ladder(x: Column, steps: dict[str, float]) -> Column:

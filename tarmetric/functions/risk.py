@@ -9,12 +9,13 @@ from pyspark.sql import Column, functions as F
 from tarmetric import params as P
 from tarmetric.functions.geo import ladder
 from tarmetric.functions.rounding import clamp01, round_dp
+from tarmetric.functions.text import stripped
 
 
 def lookup(key: Column, table: dict[str, float]) -> Column:
     """Map literal lookup on the trimmed, lower-cased key; NULL for an unknown key."""
     pairs = [F.lit(x) for kv in table.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), F.lower(F.trim(key)))
+    return F.try_element_at(F.create_map(*pairs), F.lower(stripped(key)))
 
 
 def lookup_or_fail(key: Column, table: dict[str, float], what: str) -> Column:

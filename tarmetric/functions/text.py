@@ -9,6 +9,14 @@ from pyspark.sql import Column, functions as F
 from tarmetric import params as P
 
 
+#: All white space that ends a field, not blanks alone.
+WHITE_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000"
+
+
+def stripped(text: Column) -> Column:
+    return F.btrim(text, F.lit(WHITE_SPACE))
+
+
 def longest_prefix(text: Column, words: list[str]) -> Column:
     """The longest dictionary word that ``text`` starts with, else NULL."""
     out = None
@@ -18,11 +26,11 @@ def longest_prefix(text: Column, words: list[str]) -> Column:
 
 
 def district(description: Column) -> Column:
-    return longest_prefix(F.trim(description), P.DISTRICTS)
+    return longest_prefix(stripped(description), P.DISTRICTS)
 
 
 def movement_type(description: Column) -> Column:
-    clean = F.lower(F.trim(F.regexp_replace(description, r"\s+", " ")))
+    clean = F.lower(F.trim(F.regexp_replace(description, r"(?U)\s+", " ")))
     header = None
     for marker in P.HEADER_MARKERS:
         header = clean.contains(marker) if header is None else header | clean.contains(marker)

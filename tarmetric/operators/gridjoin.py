@@ -219,7 +219,9 @@ def polygon_cells(polygons: DataFrame, base_deg: float = 0.01) -> DataFrame:
 def containing_polygons(points: DataFrame, polygons: DataFrame, base_deg: float = 0.01) -> DataFrame:
     """Inner join of points (``lat, lng``) with the polygons that contain them.
 
-    A point probes one cell per level in use; there are at most 16 levels between 0.01 and 360 degrees.
+    ``polygons`` has ``polygon_id, ring`` and, where polygons have them, ``holes``; a point in a hole or on its
+    edge is outside. A point probes one cell per level in use; there are at most 16 levels between 0.01 and 360
+    degrees.
     """
     filed = polygon_cells(polygons, base_deg)
     levels = filed.select("_level").distinct().agg(F.collect_set("_level").alias("_levels"))
@@ -229,4 +231,6 @@ def containing_polygons(points: DataFrame, polygons: DataFrame, base_deg: float
     pairs = salted_join(probes, filed, ["_level", "_iy", "_ix"])
     boxed = F.col("lat").between(F.col("_y0"), F.col("_y1")) & F.col("lng").between(F.col("_x0"), F.col("_x1"))
     inside = in_ring(F.col("lat"), F.col("lng"), F.col("ring"))
+    if "holes" in polygons.columns:
+        inside = inside & ~F.exists(F.coalesce("holes", F.array().cast(polygons.schema["holes"].dataType)), lambda h: in_ring(F.col("lat"), F.col("lng"), h, edge=True))
     return pairs.filter(boxed).filter(inside).drop("_level", "_iy", "_ix", "_y0", "_y1", "_x0", "_x1")

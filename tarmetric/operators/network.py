@@ -12,6 +12,7 @@ from tarmetric import params as P
 from tarmetric.functions.geo import haversine_km, polyline_km, representative_point
 from tarmetric.functions.risk import base_risk, lookup, terrain_class
 from tarmetric.functions.rounding import round_dp
+from tarmetric.functions.text import stripped
 from tarmetric.operators.gridjoin import nearest_edges, node_edges
 from tarmetric.operators.skew import ordinal, running_sum, salted_join
 from tarmetric.session import drop_path, materialize, scratch_path
@@ -95,7 +96,7 @@ def assemble_runs(run_vertices: DataFrame) -> DataFrame:
 
 def tagged_speed(maxspeed: Column) -> Column:
     """First token of the raw tag as a number; zero and unparseable values count as missing."""
-    token = F.split(F.trim(maxspeed), r"\s+")[0]
+    token = F.split(stripped(maxspeed), r"(?U)\s+")[0]
     return F.nullif(token.try_cast("double"), F.lit(0.0))
 
 
@@ -108,7 +109,7 @@ def road_type(highway: Column) -> Column:
 
 
 def is_bidirectional(oneway: Column) -> Column:
-    return F.lower(F.trim(F.coalesce(oneway, F.lit("")))) != "yes"
+    return F.lower(stripped(F.coalesce(oneway, F.lit("")))) != "yes"
 
 
 def segment_attributes(runs: DataFrame, ways: DataFrame) -> DataFrame:

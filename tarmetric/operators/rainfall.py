@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tarmetric import params as P
 from tarmetric.functions.risk import rain_factor
 from tarmetric.functions.rounding import round_dp
+from tarmetric.session import materialize
 
 
 def _axis(rain: DataFrame, name: str) -> DataFrame:
@@ -31,27 +32,22 @@ def _offset_from(x: Column) -> Callable[[Column], Column]:
 
 
 def attach_lattice_cell(
-    points: DataFrame, rain: DataFrame, lat: str = "lat", lng: str = "lng", max_deg: float | None = P.RAIN_MATCH_MAX_DEG
+    points: DataFrame, rain: DataFrame, lat: str = "lat", lng: str = "lng", max_deg: float = P.RAIN_MATCH_MAX_DEG
 ) -> DataFrame:
     """Append ``grid_lat, grid_lng``: the nearest lattice point within ``max_deg``, else NULL.
 
     The lattice is the product of its latitudes and longitudes, so each axis is matched alone
-    (lowest value on a tie) and no point is shuffled. Without ``max_deg`` a point outside the
-    neighbouring buckets compares with the whole axis (at most 36,001 values on one row).
+    (lowest value on a tie) and no point is shuffled.
     """
     out = points
     for axis, col in (("lat", lat), ("lng", lng)):
         table = _axis(rain, axis).withColumnRenamed("values", f"_{axis}s").withColumnRenamed("bucket", f"_{axis}_b")
         out = out.withColumn(f"_{axis}_b", F.floor(F.col(col) / P.RAIN_GRID_DEG)).join(F.broadcast(table), f"_{axis}_b", "left")
         values = F.col(f"_{axis}s")
-        if max_deg is None:
-            whole = rain.select(axis).distinct().agg(F.array_sort(F.collect_set(axis)).alias(f"_{axis}_all"))
-            out = out.crossJoin(F.broadcast(whole))
-            values = F.coalesce(values, F.col(f"_{axis}_all"))
         best = F.array_min(F.transform(values, _offset_from(F.col(col))))
-        out = out.withColumn(f"_{axis}", best).drop(f"_{axis}s", f"_{axis}_b", f"_{axis}_all")
+        out = out.withColumn(f"_{axis}", best).drop(f"_{axis}s", f"_{axis}_b")
     away = F.sqrt(F.col("_lat.d") * F.col("_lat.d") + F.col("_lng.d") * F.col("_lng.d"))
-    near = F.lit(True) if max_deg is None else away <= max_deg
+    near = away <= max_deg
     return (
         out.withColumn("grid_lat", F.when(near, F.col("_lat.v")))
         .withColumn("grid_lng", F.when(near, F.col("_lng.v")))
@@ -101,8 +97,34 @@ def rain_context(segments: DataFrame, rain: DataFrame, date: Column) -> DataFram
 
 
 def nearest_annual_cell(points: DataFrame, cells: DataFrame) -> DataFrame:
-    """Nearest yearly-rainfall cell for every point, at any distance."""
-    return attach_lattice_cell(points, cells, max_deg=None)
+    """Nearest of the yearly-rainfall cells that exist, at any distance; ties to the lowest latitude, then longitude.
+
+    Cells are filed in square buckets. A point sees its bucket and the eight around it; a cell within one
+    bucket's side is then surely the nearest. Points without one go on with buckets twice as wide, so
+    cells are found at any distance in a few rounds, and few points stay after the first. Equal places are
+    matched once.
+    """
+    cells = materialize(cells.select("lat", "lng").where("lat is not null and lng is not null").distinct(), "annual-cells")
+    places = points.select("lat", "lng").where("lat is not null and lng is not null").distinct()
+    side, found = 2 * P.RAIN_GRID_DEG, None
+    while side < 1024 and not cells.isEmpty():
+        at = lambda c, k: F.floor(F.col(c) / F.lit(side)) + k  # noqa: E731, B023
+        around = F.array(*[F.struct(at("lat", i).alias("_y"), at("lng", j).alias("_x")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        filed = cells.select(F.col("lat").alias("_lat"), F.col("lng").alias("_lng"), F.inline(around))
+        dy, dx = F.col("_lat") - F.col("lat"), F.col("_lng") - F.col("lng")
+        near = places.withColumns({"_y": at("lat", 0), "_x": at("lng", 0)}).join(filed, ["_y", "_x"], "left")
+        best = F.min(F.struct((dy * dy + dx * dx).alias("d"), F.col("_lat").alias("lat"), F.col("_lng").alias("lng"))).alias("best")
+        tried = materialize(near.groupBy("lat", "lng").agg(best), "annual-nearest")
+        sure = F.coalesce(F.col("best.d") <= side * side, F.lit(False))
+        done = tried.where(sure).select("lat", "lng", F.col("best.lat").alias("grid_lat"), F.col("best.lng").alias("grid_lng"))
+        found = done if found is None else found.unionByName(done)
+        places = tried.where(~sure).select("lat", "lng")
+        if places.isEmpty():
+            break
+        side *= 2
+    if found is None:
+        return points.withColumns({"grid_lat": F.lit(None).cast("double"), "grid_lng": F.lit(None).cast("double")})
+    return points.join(found, ["lat", "lng"], "left").select(*points.columns, "grid_lat", "grid_lng")
 
 
 def rainfall_inventory(rain: DataFrame) -> DataFrame:

@@ -180,7 +180,7 @@ def feature_columns(dataset: DataFrame, with_rain: bool, categories: dict[str, l
         "nearest_historical_landslide_distance_m_prior",
         F.coalesce("nearest_historical_landslide_distance_m_prior", F.lit(P.NO_HISTORY_DISTANCE_M)),
     )
-    onehot = [(F.col(c) == v).cast("int").alias(f"{c}_{v}") for c in ("road_type", "terrain_type") for v in chosen[c]]
+    onehot = [F.coalesce(F.col(c) == v, F.lit(False)).cast("int").alias(f"{c}_{v}") for c in ("road_type", "terrain_type") for v in chosen[c]]
     numeric = NUMERIC_FEATURES + (RAIN_FEATURES if with_rain else [])
     event = (F.col("label_status") == "event").cast("int")
     return out.select(

@@ -137,9 +137,9 @@ def alert_feed(w: World) -> DataFrame:
     return feed(w).select("kind", "alert_id", "title", "severity", "segments", "on_route", F.unix_micros("created_at").alias("created_us"))
 
 
-@query("i8_newest_alerts", "select kind, alert_id from {ox_feed} order by created_at desc, kind, alert_id limit 25")
+@query("i8_newest_alerts", "select kind, alert_id from {ox_feed} order by created_at desc, kind, alert_id")
 def newest_alerts(w: World) -> DataFrame:
-    return I.newest_first(feed(w)).limit(25).select("kind", "alert_id")
+    return I.newest_first(feed(w)).select("kind", "alert_id")
 
 
 @query("d12_hazards_without_report", "select cast(hazard_id as varchar) as hazard_id from {ox_active}")

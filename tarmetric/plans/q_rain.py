@@ -21,8 +21,8 @@ def factor_sql(mm: str) -> str:
 define("ox_axis_y", "select distinct lat as gy from {rain_daily}")
 define("ox_axis_x", "select distinct lng as gx from {rain_daily}")
 define("ox_seg_cell", """
-    select segment_id, case when sqrt(dy*dy+dx*dx)<=2e-1 then gy end as gy, case when sqrt(dy*dy+dx*dx)<=2e-1 then gx end as gx, gy as any_gy, gx as any_gx from (
-      select segment_id, (select min_by(gy, (abs(gy-latm), gy)) from {ox_axis_y}) as gy, (select min(abs(gy-latm)) from {ox_axis_y}) as dy,
+    select segment_id, case when sqrt(dy*dy+dx*dx)<=2e-1 then gy end as gy, case when sqrt(dy*dy+dx*dx)<=2e-1 then gx end as gx, any_cell[1] as any_gy, any_cell[2] as any_gx from (
+      select segment_id, (select min_by([lat, lng], ((lat-latm)*(lat-latm)+(lng-lngm)*(lng-lngm), lat, lng)) from (select distinct lat, lng from {rain_daily})) as any_cell, (select min_by(gy, (abs(gy-latm), gy)) from {ox_axis_y}) as gy, (select min(abs(gy-latm)) from {ox_axis_y}) as dy,
              (select min_by(gx, (abs(gx-lngm), gx)) from {ox_axis_x}) as gx, (select min(abs(gx-lngm)) from {ox_axis_x}) as dx from {road_segment})""")
 define("ox_seg_rain", """
     select c.segment_id, d.obs_date, c.gy as grid_lat, c.gx as grid_lng, r.rainfall_mm, case when c.gy is null then 'no_coverage' when r.rainfall_mm is null then 'missing_value' else 'ok' end as status

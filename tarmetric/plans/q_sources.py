@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tarmetric import params as P
 from tarmetric.functions.geo import point
 from tarmetric.operators.intake import current_state
 from tarmetric.operators.zonation import merge_features, uncovered_ids, unknown_classes
 from tarmetric.operators.terrain import tile_name
-from tarmetric.operators.gridjoin import nearest_edges, node_edges
+from tarmetric.operators.gridjoin import containing_polygons, nearest_edges, node_edges
 from tarmetric.plans.registry import World, define, query
 from tarmetric.functions.rounding import round_dp
 from tarmetric.plans.fixtures import hav, rnd
@@ -121,6 +121,27 @@ def zone_layer_scan(w: World) -> DataFrame:
     return counts.crossJoin(F.broadcast(bad))
 
 
+@query(
+    "a6_zone_holes_and_parts",
+    """select n.node_id, z.polygon_id from {road_node} n join (select polygon_id, x0, x1, y0, y1 from {landslide_zone}) z on
+       (n.lat > y0 - 1e0 and n.lat < y1 + 1e0 and n.lng > x0 - 1e0 and n.lng < x1 + 1e0
+        and not (n.lat >= y0 - 5e-2 and n.lat <= y1 + 5e-2 and n.lng >= x0 - 5e-2 and n.lng <= x1 + 5e-2))
+       or (n.lat > y0 and n.lat < y1 and n.lng > x0 and n.lng < x1)""",
+)
+def zone_holes_and_parts(w: World) -> DataFrame:
+    """Every zone as two parts: a wide square with a hole around the zone, and the zone itself inside the hole."""
+
+    def box(by: float) -> Column:
+        corners = [("y0", "x0"), ("y0", "x1"), ("y1", "x1"), ("y1", "x0"), ("y0", "x0")]
+        side = lambda c: F.col(c) + (F.lit(by) if c.endswith("1") else F.lit(-by))
+        return F.array(*[F.array(side(x), side(y)) for y, x in corners])
+
+    geometry = F.struct(F.lit("MultiPolygon").alias("type"), F.array(F.array(box(1.0), box(0.05)), F.array(box(0.0))).alias("coordinates"))
+    path = scratch_path(w.spark, "zones-parts")
+    writers.write_geojson(w["landslide_zone"], geometry, ["polygon_id", "hazard_class"], path)
+    return containing_polygons(w["road_node"].select("node_id", "lat", "lng"), readers.read_zones(w.spark, path)).select("node_id", "polygon_id")
+
+
 PLACES_SQL = "select * from (values " + ", ".join(
     f"('{n}', '{t}', {lat}e0, {lng}e0, {e}e0)" for n, t, lat, lng, e in P.NAMED_PLACES
 ) + ") as p(name, type, lat, lng, elevation_m)"

@@ -150,14 +150,14 @@ def features(w: World, with_rain: bool) -> DataFrame:
     return S.feature_columns(dataset(w), with_rain)
 
 
-@query("k9_k11_features_with_rain", "select " + FEATURES + ", annual_rainfall_mm, monsoon_jun_sep_rainfall_mm, max_daily_rainfall_mm, rainy_days_count, " + ", ".join(_hot("road_type") + _hot("terrain_type")) + " from {ox_dataset} where terrain_type is not null")
+@query("k9_k11_features_with_rain", "select " + FEATURES + ", annual_rainfall_mm, monsoon_jun_sep_rainfall_mm, max_daily_rainfall_mm, rainy_days_count, " + ", ".join(_hot("road_type") + _hot("terrain_type")) + " from {ox_dataset}")
 def features_with_rain(w: World) -> DataFrame:
-    return features(w, True).filter("terrain_type is not null").drop("label_status", "terrain_type")
+    return features(w, True).drop("label_status", "terrain_type")
 
 
-@query("k10_features_without_rain", "select " + FEATURES + ", " + ", ".join(_hot("road_type") + _hot("terrain_type")) + " from {ox_dataset} where terrain_type is not null")
+@query("k10_features_without_rain", "select " + FEATURES + ", " + ", ".join(_hot("road_type") + _hot("terrain_type")) + " from {ox_dataset}")
 def features_without_rain(w: World) -> DataFrame:
-    return features(w, False).filter("terrain_type is not null").drop("label_status", "terrain_type")
+    return features(w, False).drop("label_status", "terrain_type")
 
 
 define("ox_scored", "select *, " + score_sql("historical_landslide_count_prior", "nearest_historical_landslide_distance_m_prior", "landslide_hazard_score", factor_sql("max_daily_rainfall_mm"), "cast(null as double)") + " as score, case when label_status='event' then 1 else 0 end as is_event from {ox_dataset}")
@@ -287,21 +287,21 @@ def forest_importances(w: World) -> DataFrame:
 @query("k19_leave_one_group_out")
 def leave_one_group_out(w: World) -> DataFrame:
     rows, names = training(w)
-    ranks, auc = M.leave_one_group_out(rows, lambda: M.logistic_regression(names, max_iter=50))
+    ranks, auc = M.leave_one_group_out(rows, lambda: M.logistic_regression(names))
     return ranks.crossJoin(F.broadcast(auc.select(F.col("rank_auc").alias("pooled_auc"))))
 
 
 @query("k21_group_kfold")
 def group_kfold(w: World) -> DataFrame:
     rows, names = training(w)
-    return M.group_kfold(rows, lambda: M.random_forest(names, trees=50))
+    return M.group_kfold(rows, lambda: M.random_forest(names))
 
 
 def artifact(w: World) -> str:
     """Folder of the saved model and manifest, written once per session."""
     if "artifact" not in w.__dict__:
         rows, names = training(w)
-        model = M.fit(rows, M.random_forest(names, trees=50))
+        model = M.fit(rows, M.random_forest(names))
         w.__dict__["artifact"] = scratch_path(w.spark, "artifact")
         M.save_artifact(model, dataset(w), names, w.__dict__["artifact"], {})
     return w.__dict__["artifact"]

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str = "8", partitions: int = 8, memory: str = "20g") -> SparkSession:
+def local_session(cores: str = "8", partitions: int = 8, memory: str = "10g") -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own session."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
