@@ -165,3 +165,18 @@ def test_readers(spark, tmp_path):
     rain = tmp_path / "rain.csv"
     rain.write_text("date,lat,lon,rainfall_mm\n2023-06-21,27.0,92.0,\n2023-06-21,27.25,92.0,0.0\n")
     assert [r.rainfall_mm for r in readers.read_daily_rain(spark, str(rain)).orderBy("lat").collect()] == [None, 0.0]
+
+
+def test_clear_may_arrive_before_its_create(spark, tmp_path):
+    from tarmetric.streaming import live
+
+    schema = "hazard_id long, segment_id string, weather_factor double, incident_factor double, is_closure boolean, action string, at_us long"
+    create = lambda h, at: (h, "s", 0.2, 0.9, True, "create", at)
+    clear = lambda h, at: (h, "s", 0.2, 0.9, True, "clear", at)
+    for k, rows in enumerate([[clear(1, 50)], [create(1, 10), create(2, 20)], [clear(2, 30)], [create(3, 5)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"part{k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    live.start_context(stream, str(tmp_path / "out"), str(tmp_path / "offsets")).awaitTermination()
+    last = spark.read.parquet(str(tmp_path / "out")).orderBy(F.desc("batch_id")).first()
+    assert (last["active"], last["closed"]) == (1, True) and last["batch_id"] == 3
+    assert spark.read.parquet(str(tmp_path / "out")).where("batch_id = 2 and active = 0 and not closed").count() == 1

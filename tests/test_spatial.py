@@ -140,3 +140,47 @@ def test_rain_statuses(spark):
     got = {r.id: (r.status, r.rainfall_mm, r.weather_factor) for r in rainfall.daily_rainfall(pts, rain).collect()}
     assert got[1] == ("ok", 0.0, 0.0) and got[2] == ("missing_value", None, None)
     assert got[3] == ("no_coverage", None, None) and got[4] == ("no_coverage", None, None) and got[5][0] == "ok"
+
+
+def test_polygon_holes_and_parts(spark, tmp_path):
+    from tarmetric.sources.readers import read_zones
+
+    square = lambda y, x, d: [[x, y], [x + d, y], [x + d, y + d], [x, y + d], [x, y]]
+    import json
+
+    feature = lambda i, kind, c: json.dumps({"type": "Feature", "properties": {"polygon_id": i, "hazard_class": "High"}, "geometry": {"type": kind, "coordinates": c}})
+    lines = [feature(1, "Polygon", [square(0, 0, 10), square(4, 4, 2)]), feature(2, "MultiPolygon", [[square(20, 20, 1)], [square(30, 30, 4), square(31, 31, 1)]])]
+    (tmp_path / "zones.json").write_text("\n".join(lines))
+    zones = read_zones(spark, str(tmp_path / "zones.json"))
+    points = spark.createDataFrame([("in", 1.0, 1.0), ("hole", 5.0, 5.0), ("edge", 4.0, 5.0), ("part", 20.5, 20.5), ("part2", 33.5, 30.5), ("hole2", 31.5, 31.5), ("out", 15.0, 15.0)], "name string, lat double, lng double")
+    got = sorted((r["name"], r["polygon_id"]) for r in containing_polygons(points, zones).collect())
+    assert got == [("in", 1), ("part", 2), ("part2", 2)]
+    (tmp_path / "bad.json").write_text(feature(3, "Point", [1, 2]))
+    import pytest
+
+    with pytest.raises(Exception, match="unreadable polygon"):
+        read_zones(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_nearest_annual_cell_on_an_uneven_lattice(spark):
+    rng = random.Random(3)
+    cells = sorted({(rng.choice([0.0, 0.75, 1.5, 40.0]), rng.choice([0.0, 0.25, 2.0, 90.0])) for _ in range(9)}) + [(0.25, 0.25)]
+    points = [(k, rng.uniform(-5, 60), rng.uniform(-5, 120)) for k in range(60)] + [(100, 0.49, 0.02), (101, 0.02, 0.22), (102, None, 1.0)]
+    got = rainfall.nearest_annual_cell(spark.createDataFrame(points, "id long, lat double, lng double"), spark.createDataFrame(cells, "lat double, lng double")).collect()
+    assert len(got) == len(points)
+    for r in got:
+        want = None if r["lat"] is None else min(cells, key=lambda c: ((c[0] - r["lat"]) ** 2 + (c[1] - r["lng"]) ** 2, c))
+        assert (r["grid_lat"], r["grid_lng"]) == (want or (None, None))
+
+
+def test_white_space_and_line_breaks(spark, tmp_path):
+    from tarmetric.functions.text import district
+    from tarmetric.sources.readers import read_inventory
+
+    row = spark.createDataFrame([("\tTawang road", "\t45", "yes\n")], "d string, s string, o string")
+    got = row.select(district(F.col("d")), N.tagged_speed(F.col("s")), N.is_bidirectional(F.col("o"))).first()
+    assert tuple(got) == ("Tawang", 45.0, False)
+    head = "slide_no,slide_id,state,description_before_coordinates,latitude,longitude,description_after_coordinates,raw_record\n"
+    (tmp_path / "inventory.csv").write_text(head + '1,a,s,"two\nlines",27.0,92.0,x,y\n')
+    rows = read_inventory(spark, str(tmp_path / "inventory.csv")).collect()
+    assert len(rows) == 1 and rows[0]["description_before_coordinates"] == "two\nlines"
