@@ -61,8 +61,11 @@ def grid_key(degrees: Column) -> Column:
 
 
 def daily_rainfall(points: DataFrame, rain: DataFrame, date: str = "obs_date", lat: str = "lat", lng: str = "lng") -> DataFrame:
-    """Rainfall at each point and date with a status: ok, missing_value or no_coverage."""
-    cells = attach_lattice_cell(points, rain, lat, lng)
+    """Rainfall at each point and date with a status: ok, missing_value or no_coverage.
+
+    Points that already have ``grid_lat, grid_lng`` keep them: match places before they are multiplied by days.
+    """
+    cells = points if {"grid_lat", "grid_lng"} <= set(points.columns) else attach_lattice_cell(points, rain, lat, lng)
     loaded = rain.select(F.col("obs_date").alias("_date"), F.lit(True).alias("_loaded")).distinct()
     readings = rain.select(
         F.col("obs_date").alias("_date"), grid_key(F.col("lat")).alias("_gy"), grid_key(F.col("lng")).alias("_gx"), "rainfall_mm"

@@ -223,18 +223,19 @@ def trip_progress(w: World) -> DataFrame:
 
 
 @query("j2_trip_positions", """
-    select trip_id, """ + rnd("case when part<=h1 or h2<=0 then ay+(latm-ay)*least(1e0,greatest(0e0,part/h1)) else latm+(bey-latm)*least(1e0,greatest(0e0,(part-h1)/h2)) end", 6) + """ as lat from (
-      select trip_id, km, latm, a.lat as ay, b.lat as bey, h.h1, h.h2, km-h.before as part, row_number() over (partition by trip_id order by h.leg_idx) as r from {ox_trip} t
+    select trip_id, """ + rnd("case when part<=h1 or h2<=0 then ay+(latm-ay)*least(1e0,greatest(0e0,part/h1)) else latm+(bey-latm)*least(1e0,greatest(0e0,(part-h1)/h2)) end", 6) + " as lat, "
+    + rnd("case when part<=h1 or h2<=0 then ax+(lngm-ax)*least(1e0,greatest(0e0,part/h1)) else lngm+(bex-lngm)*least(1e0,greatest(0e0,(part-h1)/h2)) end", 6) + """ as lng from (
+      select trip_id, km, latm, lngm, a.lat as ay, b.lat as bey, a.lng as ax, b.lng as bex, h.h1, h.h2, km-h.before as part, row_number() over (partition by trip_id order by h.leg_idx) as r from {ox_trip} t
       join {ox_leg_geo} h on h.origin=t.origin and h.destination=t.destination and (h.before+h.h1+h.h2>=km or h.leg_idx=t.legs-1) join {road_node} a on a.node_id=h.u join {road_node} b on b.node_id=h.v) where r=1""")
 def trip_positions(w: World) -> DataFrame:
     geometry = route_geometry(legs(w).filter("graph = 'fast'").drop("graph"), scored(w, "calm"), OD)
-    return T.trip_positions(progress(w), geometry, OD).select("trip_id", round_dp("lat", 6).alias("lat"))
+    return T.trip_positions(progress(w), geometry, OD).select("trip_id", round_dp("lat", 6).alias("lat"), round_dp("lng", 6).alias("lng"))
 
 
 define("ox_leg_geo", """
     select *, coalesce(sum(h1+h2) over (partition by origin, destination order by leg_idx rows between unbounded preceding and 1 preceding), 0e0) as before from (
-      select l.origin, l.destination, l.leg_idx, l.u, l.v, s.latm, case when s.from_node_id=l.u then s.ha else s.hb end as h1, case when s.from_node_id=l.u then s.hb else s.ha end as h2 from {ox_leg} l
-      join (select segment_id, from_node_id, latm, """ + hav("lat1", "lng1", "latm", "lngm") + " as ha, "
+      select l.origin, l.destination, l.leg_idx, l.u, l.v, s.latm, s.lngm, case when s.from_node_id=l.u then s.ha else s.hb end as h1, case when s.from_node_id=l.u then s.hb else s.ha end as h2 from {ox_leg} l
+      join (select segment_id, from_node_id, latm, lngm, """ + hav("lat1", "lng1", "latm", "lngm") + " as ha, "
       + hav("latm", "lngm", "lat2", "lng2") + """ as hb from {ox_collapsed}) s using (segment_id) where l.graph='fast')""")
 
 

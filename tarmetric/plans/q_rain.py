@@ -43,7 +43,8 @@ def day_rain(w: World) -> DataFrame:
 def segment_daily_rain(w: World) -> DataFrame:
     """Every segment on every loaded day."""
     dates = w.rain.select("obs_date").distinct()
-    points = w.segments.select("segment_id", F.col("latm").alias("lat"), F.col("lngm").alias("lng")).crossJoin(F.broadcast(dates))
+    places = w.segments.select("segment_id", F.col("latm").alias("lat"), F.col("lngm").alias("lng"))
+    points = R.attach_lattice_cell(places, w.rain).crossJoin(F.broadcast(dates))  # one row a calendar day
     read = R.daily_rainfall(points, w.rain)
     return read.select("segment_id", F.col("obs_date").cast("string").alias("obs_date"), "grid_lat", "grid_lng", "rainfall_mm", "status", "weather_factor")
 
