@@ -179,12 +179,12 @@ def risk_aware_paths(w: World) -> DataFrame:
 @query("h6_route_assembly", """
     select graph, origin, destination, legs, node_path, total_distance_km, estimated_travel_time_min, 2*legs+1 as vertices, """ + rnd("lat_sum", 6) + """ as lat_sum from {ox_route} join (
       select graph, origin, destination, sum(latm+b.lat)+any_value(a.lat) as lat_sum from {ox_leg} join (select segment_id, latm from {ox_collapsed}) using (segment_id)
-      join {road_node} b on b.node_id=v join {road_node} a on a.node_id=origin group by 1,2,3) using (graph, origin, destination) where graph<>'distance'""")
+      join {road_node} b on b.node_id=v join {road_node} a on a.node_id=origin group by 1,2,3) using (graph, origin, destination)""")
 def route_assembly(w: World) -> DataFrame:
     g = R.route_geometry(legs(w), scored(w, "calm"))
     lat_sum = F.aggregate("geometry", F.lit(0.0), lambda s, p: s + p["lat"])
     shape = g.select(*R.ROUTE, F.size("geometry").cast("long").alias("vertices"), round_dp(lat_sum, 6).alias("lat_sum"))
-    return routes(w).join(shape, R.ROUTE).filter("graph <> 'distance'")
+    return routes(w).join(shape, R.ROUTE)
 
 
 @query("h7_remaining_routes", """
@@ -304,10 +304,10 @@ def scenario_decisions(w: World) -> DataFrame:
     return out
 
 
-@query("h16_route_lookup", "select graph, origin, destination, node_path, total_distance_km from {ox_route} where graph<>'distance' and (origin, destination)=(select (max(origin), max_by(destination, (origin, destination))) from {ox_pair})")
+@query("h16_route_lookup", "select graph, origin, destination, node_path, total_distance_km from {ox_route} where (origin, destination)=(select (max(origin), max_by(destination, (origin, destination))) from {ox_pair})")
 def route_lookup(w: World) -> DataFrame:
     last = pairs(w).agg(F.max(F.struct(*OD)).alias("k")).select("k.*")
-    return routes(w).join(F.broadcast(last), OD, "left_semi").filter("graph <> 'distance'").select("graph", *OD, "node_path", "total_distance_km")
+    return routes(w).join(F.broadcast(last), OD, "left_semi").select("graph", *OD, "node_path", "total_distance_km")
 
 
 @query("h17_dominant_status", """

@@ -127,7 +127,9 @@ def test_models_hold_out_whole_groups(spark):
             event = g < 2 and k < 3
             rows.append((f"seg_{g}_{k}", 2000 + k % 2, "event" if event else "unobserved", "hill", str(g), int(event), x + event, x))
     f = spark.createDataFrame(rows, "segment_id string, year int, label_status string, terrain_type string, way_group string, is_event int, a double, b double")
-    ranks, auc = M.leave_one_group_out(f, lambda: M.logistic_regression(["a", "b"], max_iter=20))
+    make = lambda: M.logistic_regression(["a", "b"], max_iter=20)
+    assert M.leave_one_group_out(f, make)[0].count() == 40
+    ranks, auc = M.leave_one_group_out(f, make, siblings=False)
     got = ranks.collect()
     assert len(got) == 6 and {r.fold for r in got} == {"0", "1"} and auc.first().rank_auc > 0.7
     folds = M.assign_folds(f, 3)
