@@ -303,21 +303,5 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return base.join(classes(base, radius), "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each class: that of the smallest doc_id (nulls last), then of the smallest key.
-
-    Rows equal in id and text count once.
-    """
-    base = fingerprints(docs)
-    own = materialize(classes(base, radius), "classes")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_k1", "_k2")).alias("first")
-    # fingerprints first, so that a large group of copies is one row before its class is joined
-    best = base.groupBy("fp").agg(first).join(own, "fp").groupBy("root").agg(F.min("first").alias("first"))
-    kept = best.select("first._k1", "first._k2")
-    cols = docs.columns
-    one = docs.groupBy(*row_key()).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in cols])).alias("_row"))
-    return one.join(kept, ["_k1", "_k2"], "left_semi").select("_row.*")
-
-
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tarmetric.llm import chat, decontaminate, licenses, neighbours, packing, quality, secrets, sharding, simhash, urls
+from tarmetric.llm import chat, decontaminate, licenses, neighbours, packing, quality, secrets, sharding, simhash, simhash_wide, urls
 from tarmetric.llm.common import literal_rows
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, h string, fp long, spans string"
@@ -264,11 +264,73 @@ def test_links_of_dense_and_sparse_fingerprints(spark, bucket_rows):
     assert [got[f] for f in fps] == plain_classes(fps, list(range(len(fps))), 4)
 
 
+def plain_resemblance(texts, ids, similarity=0.8):
+    """Class ids by all pairs of five-word shingle sets."""
+    sets = []
+    for t in texts:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or "")) if x]
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {""})
+    label = list(range(len(sets)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= similarity * len(a | b):
+                label[root(i)] = root(j)
+    least = {}
+    for i, x in enumerate(ids):
+        least[root(i)] = min(least.get(root(i), 1 << 60), x)
+    return [least[root(i)] for i in range(len(sets))]
+
+
+def edited(text, edits, seed):
+    words, rng = text.split(), np.random.default_rng(seed)
+    for at in rng.choice(len(words), edits, replace=False):
+        words[at] = f"new{seed}x{at}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("bucket_rows", [6, 4096])
+def test_near_copies_like_brute_force(spark, bucket_rows):
+    # single edits touch five shingles: from far above the similarity to far below it
+    rows = [(100 * k + e, edited(prose(k, 300), e, 100 * k + e)) for k in range(12) for e in (0, 1, 3, 5, 9, 14, 20)]
+    rows += [(5000 + e, edited(prose(77, 400), 2, e)) for e in range(70)] + [(6000, prose(78, 20000)), (6001, prose(78, 20000) + " end")]
+    rows += [(7000, None), (7001, ""), (7002, " \n\t"), (7003, "One"), (7004, "oNE"), (7005, "É a b"), (60, prose(1, 9)), (60, prose(1, 9))]
+    got = simhash_wide.near_copies(docs(spark, rows), reach=0.9999, bucket_rows=bucket_rows).collect()
+    want = plain_resemblance([t for _, t in rows], [i for i, _ in rows])
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted(zip([i for i, _ in rows], want))
+    assert len(set(want)) > 12
+
+
+@pytest.mark.parametrize("closest", [10, 4096])
+def test_spanning_links_connect_what_is_near(closest):
+    rng = np.random.default_rng(closest)
+    hearts = rng.integers(1 << 63, size=(4, 2), dtype=np.uint64)
+    own = np.array([hearts[k % 4] ^ np.array([1 << int(rng.integers(63)), 1 << int(rng.integers(63))], dtype=np.uint64) for k in range(120)])
+    a, b = simhash_wide.spanning(own, 6, closest)
+    assert len(a) == 116 and all(i % 4 == j % 4 for i, j in zip(a.tolist(), b.tolist())) and len(set(a.tolist()) | set(b.tolist())) == 120
+    assert [len(x) for x in simhash_wide.spanning(own[:1], 6, closest)] == [0, 0]
+
+
+def test_thresholds_reach_the_goal_at_least_cost():
+    widths = [16] * 40
+    costs = [[0.0, 1.0 + k, 30.0 * (1 + k), 900.0 * (1 + k)] for k in range(40)]
+    total, chosen = simhash_wide.allocate(costs, widths, 0.9)
+    miss = np.prod([1 - simhash_wide.meeting(16, t) for t in chosen if t >= 0])
+    assert miss <= 0.1 and total == sum(c[t + 1] for c, t in zip(costs, chosen))
+    assert chosen[0] >= chosen[-1]
+
+
 def test_keep_one(spark):
-    rows = [(5, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (None, "A b c d e"), (9, "q r s"), (None, None)]
-    kept = simhash.keep_one(docs(spark, rows))
+    rows = [(5, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (None, "A b c d e"), (9, "q r s"), (None, None), (None, "  ")]
+    kept = simhash_wide.keep_one(docs(spark, rows))
     assert kept.columns == docs(spark, rows).columns
-    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in kept.collect()) == [(-1, ""), (3, "a b c d e"), (9, "q r s")]
+    assert sorted((r["doc_id"] or -1, (r["text"] or "").strip()) for r in kept.collect()) == [(-1, ""), (3, "a b c d e"), (9, "q r s")]
+    assert simhash_wide.keep_one(docs(spark, [])).count() == 0
 
 
 # --- secrets

@@ -4,7 +4,7 @@ import numpy as np
 
 import corpus_pipeline
 from tarmetric.llm import packing, quality, secrets
-from tests.llm.test_operators import plain_classes, plain_fingerprint, prose
+from tests.llm.test_operators import edited, plain_resemblance, prose
 
 ITEM = "one two three four five six seven eight nine ten"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double"
@@ -12,7 +12,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sc
 
 def test_pipeline_like_plain_decisions(spark, tmp_path):
     rows = [(k, prose(k, 120) if k % 4 else prose(k, 120).upper().replace(" ", "!! ")) for k in range(160)]
-    rows += [(200 + k, rows[k][1]) for k in range(1, 30, 2)] + [(300, prose(900) + " " + ITEM), (301, None), (302, ""), (303, prose(901) + ' token = "24be64439e3e49cf46b2d7c90f"'), (5, rows[5][1])]
+    rows += [(200 + k, rows[k][1]) for k in range(1, 30, 2)] + [(240 + k, edited(rows[k][1], 2, k)) for k in range(1, 20, 2)] + [(300, prose(900) + " " + ITEM), (301, None), (302, ""), (303, prose(901) + ' token = "24be64439e3e49cf46b2d7c90f"'), (5, rows[5][1])]
     full = [(i, t, "en", "s", None if t is None else len(t), 0.5) for i, t in rows]
     spark.createDataFrame(full, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     labels = [(k, int(k % 4 > 0), 0) for k in range(160)]
@@ -24,7 +24,7 @@ def test_pipeline_like_plain_decisions(spark, tmp_path):
     good = {(r["doc_id"]) for r in scored if r["score"] >= 0.3}
     left = [(i, t) for i, t in rows if i in good]
     assert {i for i, _ in left} >= {k for k in range(160) if k % 4} and not {i for i, _ in left} & {k for k in range(160) if k % 4 == 0}
-    kinds = plain_classes([plain_fingerprint(t) for _, t in left], [i for i, _ in left], 4)
+    kinds = plain_resemblance([t for _, t in left], [i for i, _ in left])
     kept = {i: t for (i, t), c in zip(left, kinds) if i == c}
     kept = {i: t for i, t in kept.items() if ITEM not in (t or "")}
     kept = {i: secrets.redact(t) for i, t in kept.items()}
