@@ -306,6 +306,40 @@ def test_near_copies_like_brute_force(spark, bucket_rows):
     assert len(set(want)) > 12
 
 
+def test_true_pairs_inside_a_family_below_the_similarity(spark):
+    # boilerplate: all texts at about 0.7 of each other, and some pairs at 0.8 or more among them
+    base, rows = prose(901, 400), []
+    for k in range(1500):
+        own = edited(base, 7, k)
+        rows.append((k, own))
+        if k % 8 == 0:
+            rows += [(1000000 + k, edited(own, 7, 3000 + k))]
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    seen = {}
+    for own in sets:
+        for x in own:
+            seen[x] = seen.get(x, 0) + 1
+    place = {x: i for i, x in enumerate(x for x, n in seen.items() if n > 1)}
+    held = np.zeros((len(rows), len(place)), dtype=np.float32)
+    for i, own in enumerate(sets):
+        held[i, [place[x] for x in own if x in place]] = 1
+    size, common = np.array(list(map(len, sets))), held @ held.T
+    true = np.argwhere(np.triu(common >= 0.8 * (size[:, None] + size[None] - common), 1))
+    got = {r["doc_id"]: r["component_id"] for r in simhash_wide.near_copies(docs(spark, rows), reach=0.9999).collect()}
+    apart = [(i, j) for i, j in true.tolist() if got[rows[i][0]] != got[rows[j][0]]]
+    joined = components_of(len(rows), true.tolist())
+    assert len(true) > 188 and not apart and len(set(got.values())) == joined
+
+
+def components_of(n, pairs):
+    label = list(range(n))
+    for i, j in pairs:
+        a, b = label[i], label[j]
+        if a != b:
+            label = [a if x == b else x for x in label]
+    return len(set(label))
+
+
 @pytest.mark.parametrize("closest", [10, 4096])
 def test_spanning_links_connect_what_is_near(closest):
     rng = np.random.default_rng(closest)
