@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tarmetric.llm.common import ascii_lower, let, row_key, table
+from tarmetric.llm.common import let, row_key, table
 from tarmetric.session import materialize
 
 WINDOW, SHARE = 5, 0.8
@@ -46,7 +46,7 @@ def typed_tokens(text: Column) -> Column:
         )
 
     def marked(tokens: Column) -> Column:
-        return F.transform(tokens, lambda w, i: F.struct(ascii_lower(w).alias("w"), kind(w, i, F.get(tokens, i - 1)).alias("t")))
+        return F.transform(tokens, lambda w, i: F.struct(F.lower(w).alias("w"), kind(w, i, F.get(tokens, i - 1)).alias("t")))
 
     tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
     return F.filter(let(tokens, marked), lambda x: ~x["w"].isin(".", "!", "?"))

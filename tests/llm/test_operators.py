@@ -448,3 +448,10 @@ def test_leaks(spark):
     kept = decontaminate.remove_leaked(docs(spark, rows), bench)
     assert kept.columns == docs(spark, rows).columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 12, 13, 14, 16, 17]
     assert decontaminate.find_leaks(docs(spark, []), bench).count() == 0 and decontaminate.find_leaks(docs(spark, rows), bench.limit(0)).count() == 0
+
+
+def test_leaks_in_capitals_with_accents(spark):
+    item = "où était l'école près de la forêt où les élèves étudiaient à côté du château"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontaminate.find_leaks(docs(spark, [(1, prose(1) + " " + item.upper()), (2, prose(2))]), bench).collect()
+    assert [(r["doc_id"], r["containment"]) for r in got] == [(1, 1.0)]
