@@ -433,6 +433,38 @@ def test_neighbours_recall_and_edges(spark):
     assert neighbours.search(df.limit(0)).count() == 0
 
 
+def test_recall_where_lists_outnumber_the_probes():
+    # isotropic vectors: no ratio of distances closes a list
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(50_000, 64))
+    recall, scanned = list_recall(v, v[:50])
+    assert recall >= 0.95 and scanned < 0.7
+
+
+def list_recall(v, q, k=20):
+    """Recall and scanned share of the lists the queries open, with the operator's own centres and limits."""
+    most = (v**2).sum(axis=1).max()
+    x = neighbours.lengthened(v, most)
+    graph = neighbours.CentreGraph(neighbours.fit_centres(x[: neighbours.TRAIN_ROWS], len(v) // neighbours.LIST_ROWS))
+    filed = []
+    for at in range(0, len(x), 512):
+        found, d = graph.search(x[at : at + 512], 16)
+        d = np.sqrt(d)[:, : neighbours.FILE_MOST]
+        r, c = np.nonzero(d <= d[:, :1] * neighbours.FILE_RATIO + 1e-12)
+        filed.append(np.c_[at + r, found[r, c]])
+    filed = np.concatenate(filed)
+    top, least = neighbours.probe_limits(len(graph.centres))
+    found, d = graph.search(np.c_[q, np.zeros(len(q))], top)
+    take = (np.sqrt(d) <= np.sqrt(d[:, :1]) * neighbours.PROBE_RATIO) | (np.arange(found.shape[1]) < least)
+    hit, read = 0, 0
+    for i in range(len(q)):
+        rows = np.unique(filed[np.isin(filed[:, 1], found[i][take[i]]), 0])
+        want = np.argsort(-(v @ q[i]), kind="stable")[:k]
+        hit += len(set(want.tolist()) & set(rows.tolist()))
+        read += len(rows)
+    return hit / (k * len(q)), read / (len(v) * len(q))
+
+
 # --- decontamination
 
 
