@@ -3,9 +3,9 @@
 A text is read as tokens. Numbers become ``<num>``, capitalised words inside a sentence ``<name>`` and unit words
 behind a number ``<unit>``; every window of five tokens gives the hash of its words and, where it holds a
 placeholder, the hash of its template. The windows of the benchmark and of the documents meet in one hash join.
-An item is leaked into a document when at least 80 % of the item's windows stand there, and the values of
-its slots are replaced consistently: the occurrences of one benchmark value have one counterpart in the
-document for at least 80 % of the values.
+An item is leaked into a document when at least 80 % of the item's windows stand there word for word, or stand
+there by words or templates and the values of its slots are replaced consistently: the occurrences of one
+benchmark value have one counterpart for at least 80 % of the values, in the whole document or at one place of it.
 
 DataFrame functions only; documents' windows are dealt by hash where the benchmark is not small enough to send,
 and matches are written once and added up before they are shuffled. Nothing is sent without Spark's own size check.
@@ -81,16 +81,30 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> D
     items = items.select("item_id", "_item", F.greatest(F.size("tokens") - WINDOW + 1, F.lit(1)).alias("item_windows"), F.inline(windows(F.col("tokens"))))
     items = items.select("item_id", "_item", "item_windows", F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"))
     rows = docs.select("doc_id", *row_key(), typed_tokens(F.col("text")).alias("tokens"))
-    rows = rows.select("doc_id", "_k1", "_k2", F.inline(windows(F.col("tokens")))).select("doc_id", "_k1", "_k2", "h", "slots")
-    met = materialize(rows.join(items, "h"), "window-matches")  # texts are read once for windows and slots
+    rows = rows.select("doc_id", "_k1", "_k2", F.inline(windows(F.col("tokens")))).select("doc_id", "_k1", "_k2", "h", "at", "slots")
+    met = rows.join(items, "h").withColumn("place", F.col("at") - F.col("item_at")).drop("at", "h")
+    met = materialize(met, "window-matches")  # texts are read once for windows and slots
     pair = ["doc_id", "_k1", "_k2", "item_id", "_item"]
-    hits = met.groupBy(*pair, "item_windows", "item_at").agg(F.count("*").alias("_n"))
-    shared = hits.groupBy(*pair, "item_windows").agg(F.count("*").alias("shared_windows")).withColumn("containment", F.col("shared_windows") / F.col("item_windows"))
-    slots = met.where(F.size("slots") > 0).select(*pair, F.explode(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))).alias("s"))
-    values = slots.groupBy(*pair, F.col("s.a").alias("value")).agg((F.min("s.b") == F.max("s.b")).alias("same"))
-    kept = values.groupBy(*pair).agg(F.avg(F.col("same").cast("int")).alias("slot_consistency"))
+    plain = F.max((F.size("slots") == 0).cast("int")).alias("plain")
+    hits = met.groupBy(*pair, "item_windows", "item_at").agg(plain)
+    shared = hits.groupBy(*pair, "item_windows").agg(F.count("*").alias("shared_windows"), (F.sum("plain") / F.col("item_windows")).alias("_plain"))
+    shared = shared.withColumn("containment", F.col("shared_windows") / F.col("item_windows")).where(F.col("containment") >= share)
+    held = met.groupBy(*pair, "place", "item_windows").agg(F.countDistinct("item_at").alias("n"))
+    held = held.where(F.col("n") / F.col("item_windows") >= share).select(*pair, "place")
+    slots = met.where(F.size("slots") > 0).select(*pair, "place", F.explode(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))).alias("s"))
+    values = slots.groupBy(*pair, "place", F.col("s.a").alias("value")).agg(F.min("s.b").alias("least"), F.max("s.b").alias("most"))
+    same = (F.min("least") == F.max("most")).cast("int").alias("same")
+    score = F.avg("same").alias("slot_consistency")
+    # over the whole document, since a copy may be cut by added words, and at each place that holds the item
+    whole = values.groupBy(*pair, "value").agg(same).groupBy(*pair).agg(score)
+    placed = values.groupBy(*pair, "place", "value").agg(same).groupBy(*pair, "place").agg(score)
+    on = [held[c].eqNullSafe(placed[c]) for c in [*pair, "place"]]
+    placed = held.join(placed, on, "left").select(*[held[c] for c in pair], F.coalesce("slot_consistency", F.lit(1.0)).alias("slot_consistency"))
+    kept = whole.union(placed).groupBy(*pair).agg(F.max("slot_consistency").alias("slot_consistency"))
     on = [shared[c].eqNullSafe(kept[c]) for c in pair]
-    full = shared.where(F.col("containment") >= share).join(kept, on, "left").select(*[shared[c] for c in shared.columns], F.coalesce("slot_consistency", F.lit(1.0)).alias("slot_consistency"))
+    # an item that stands there word for word needs no slots
+    consistent = F.when(F.col("_plain") >= share, 1.0).otherwise(F.coalesce("slot_consistency", F.lit(1.0)))
+    full = shared.join(kept, on, "left").select(*[shared[c] for c in [*pair, "item_windows", "shared_windows", "containment"]], consistent.alias("slot_consistency"))
     return full.where(F.col("slot_consistency") >= share).drop("_item")
 
 

@@ -487,3 +487,15 @@ def test_leaks_in_capitals_with_accents(spark):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     got = decontaminate.find_leaks(docs(spark, [(1, prose(1) + " " + item.upper()), (2, prose(2))]), bench).collect()
     assert [(r["doc_id"], r["containment"]) for r in got] == [(1, 1.0)]
+
+
+def test_leaks_beside_variants_of_the_item(spark):
+    item = "yesterday Anna had 12 apples and bought 30 more at 4 km from home so how many apples does Anna have now"
+    one, two = item.replace("Anna", "Bertha").replace("12", "57").replace("30", "8"), item.replace("Anna", "Clara").replace("12", "91").replace("30", "66")
+    mixed = "yesterday Bertha had 57 apples and bought 8 more at 4 km from home so how many apples does Clara have now"
+    rows = "add 3 pears and 5 plums now add 4 pears and 6 plums now add 3 pears and 7 plums now"
+    bench = spark.createDataFrame([(1, item), (2, rows)], "item_id long, text string")
+    texts = [f"{item}. {prose(1)} {one}", f"{one}. {prose(2)} {two}", f"{prose(3)} {rows}", prose(4)]
+    got = decontaminate.find_leaks(docs(spark, list(enumerate(texts))), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(0, 1), (1, 1), (2, 2)]
+    assert decontaminate.find_leaks(docs(spark, [(1, mixed)]), bench).where("slot_consistency = 1").count() == 0
