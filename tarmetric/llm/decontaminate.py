@@ -1,6 +1,6 @@
 """Benchmark decontamination by templates: typed placeholders, hash-joined windows, consistent slots.
 
-A text is read as tokens. Numbers become ``<num>``, capitalised words inside a sentence ``<name>`` and unit words
+A text is read as tokens. Numbers, also decimal and grouped ones, become ``<num>``, capitalised words ``<name>`` and unit words
 behind a number ``<unit>``; every window of five tokens gives the hash of its words and, where it holds a
 placeholder, the hash of its template. The windows of the benchmark and of the documents meet in one hash join.
 An item is leaked into a document when at least 80 % of the item's windows stand there word for word, or stand
@@ -23,7 +23,9 @@ from tarmetric.llm.common import let, row_key, table
 from tarmetric.session import materialize
 
 WINDOW, SHARE = 5, 0.8
-TOKEN = r"[.!?]|[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# a decimal or grouped number is one token; a list or a date is not
+NUMBER = r"[0-9]{1,3}(?:[.,][0-9]{3})+(?:[.,][0-9]+)?(?![.,]?[0-9])|[0-9]+[.,][0-9]+(?![.,]?[0-9])"
+TOKEN = NUMBER + r"|[.!?]|[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # Unit words.
 UNITS = (
     "mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "mg", "g", "kg", "gram", "grams",
@@ -37,16 +39,16 @@ def typed_tokens(text: Column) -> Column:
     """(w: lower-cased word, t: null or its placeholder) of a text's words."""
     units = F.array(*[F.lit(u) for u in UNITS])
 
-    def kind(w: Column, i: Column, before: Column) -> Column:
-        number = (before >= "0") & (before < ":")
+    def kind(w: Column, before: Column) -> Column:
+        number, digits = (before >= "0") & (before < ":"), "^[0-9]+([.,][0-9]+)*$"
         return (
-            F.when((w >= "a") & (w < "{"), F.when(number & before.rlike("^[0-9]+$") & F.array_contains(units, w), "<unit>"))
-            .when((w >= "0") & (w < ":"), F.when(w.rlike("^[0-9]+$"), "<num>"))
-            .when((i > 0) & ~before.isin(".", "!", "?") & w.rlike(r"^\p{Lu}\p{Ll}+$"), "<name>")
+            F.when((w >= "a") & (w < "{"), F.when(number & before.rlike(digits) & F.array_contains(units, w), "<unit>"))
+            .when((w >= "0") & (w < ":"), F.when(w.rlike(digits), "<num>"))
+            .when(w.rlike(r"^\p{Lu}\p{Ll}+$"), "<name>")
         )
 
     def marked(tokens: Column) -> Column:
-        return F.transform(tokens, lambda w, i: F.struct(F.lower(w).alias("w"), kind(w, i, F.get(tokens, i - 1)).alias("t")))
+        return F.transform(tokens, lambda w, i: F.struct(F.lower(w).alias("w"), kind(w, F.get(tokens, i - 1)).alias("t")))
 
     tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
     return F.filter(let(tokens, marked), lambda x: ~x["w"].isin(".", "!", "?"))

@@ -499,3 +499,10 @@ def test_leaks_beside_variants_of_the_item(spark):
     got = decontaminate.find_leaks(docs(spark, list(enumerate(texts))), bench).collect()
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(0, 1), (1, 1), (2, 2)]
     assert decontaminate.find_leaks(docs(spark, [(1, mixed)]), bench).where("slot_consistency = 1").count() == 0
+
+
+def test_leaks_with_names_that_open_sentences_and_long_numbers(spark):
+    item = "Anna has 12 apples and 5 pears. Anna buys 30 more apples at 4 km from home. Anna eats 2 of them now."
+    texts = [f"{prose(1)} {item.replace('Anna', 'Bertha')}", f"{prose(2)} {item.replace('12', '1,200').replace('30', '3.5')}", f"{prose(3)} {item}", prose(4)]
+    got = decontaminate.find_leaks(docs(spark, list(enumerate(texts))), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in got) == [0, 1, 2]
