@@ -1,10 +1,9 @@
-"""URL filters: a sort-merge range join of reversed-host keys with nested rules.
+"""URL filters: host endings joined to the hosts of the rules, and a sorted sweep of paths with nested rules.
 
-A url's host is read from its last label to its first, so every rule is the interval of keys that begin with
-``reversed host + path``. A rule also fits subdomains, so a url has one key for each ending of its host that
-is the host of some rule. Keys and rules are sorted together; the rule that precedes a key and its stack of
-enclosing rules are all that can fit: a sweep carries that stack to the key and takes its innermost fitting
-rule. Of a url's keys the longest rule wins.
+A rule also fits subdomains, so a url has one key for each ending of its host that is the host of some rule;
+these are found by an equality join. Inside a rule host, paths and rules are sorted together; the rule that
+precedes a path and its stack of enclosing rules are all that can fit: a sweep carries that stack to the path
+and takes its innermost fitting rule. Of a url's keys the longest rule wins.
 
 Equal (host, path) are judged once. A busy rule host is dealt over several sorted runs, each with a copy of
 its rules, so a sweep holds at most about ``run_rows`` keys.
@@ -44,10 +43,6 @@ def host_endings(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, -n, n), "."))
 
 
-def reversed_host(host: Column) -> Column:
-    return F.array_join(F.reverse(F.split(host, r"\.")), ".")
-
-
 def nested_rules(rules: DataFrame) -> DataFrame:
     """Rules by host and path with ``stack``: all rules of that host that enclose the rule, outermost first, itself last."""
     own = rules.select("host", "path", "verdict").groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
@@ -74,7 +69,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, run_r
     events = copies.select(lane.alias("lane"), "rule_host", "key", F.lit(0).alias("kind"), "stack", F.lit(None).cast("string").alias("host")).union(
         dealt.select(lane.alias("lane"), "rule_host", F.col("path").alias("key"), F.lit(1).alias("kind"), F.lit(None).cast(stack_type).alias("stack"), "host")
     )
-    # the sorted key is reversed host + path; the host part is the same inside a run
+    # the host is the same inside a run, so paths alone are sorted
     sweep = W.partitionBy("lane").orderBy("key", "kind").rowsBetween(W.unboundedPreceding, 0)
     active = F.last("stack", ignorenulls=True).over(sweep)
     swept = events.select("rule_host", "host", "kind", F.col("key").alias("path"), active.alias("active")).where("kind = 1")
