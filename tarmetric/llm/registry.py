@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarmetric.llm import chat, decontaminate, licenses, neighbours, packing, quality, secrets, sharding, simhash, urls
+from tarmetric.llm import chat, codes, decontaminate, licenses, neighbours, packing, quality, secrets, sharding, simhash, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": secrets.op8_secrets,
         "op9_neighbours": neighbours.op9_neighbours,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op13_codes": codes.op13_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licenses": licenses.ORACLE, "op3_urls": urls.ORACLE, "op5_chat": chat.ORACLE}
+    return {"op2_licenses": licenses.ORACLE, "op3_urls": urls.ORACLE, "op5_chat": chat.ORACLE, "op13_codes": codes.ORACLE}
