@@ -42,3 +42,12 @@ def literal_rows(spark: SparkSession, rows: Iterable[tuple], schema: str) -> Dat
         return spark.sql("select " + ", ".join(f"cast(null as {t}) as {n}" for n, t in zip(names, types))).where("false")
     entry = F.array(*[F.struct(*[F.lit(v).cast(t).alias(n) for v, n, t in zip(row, names, types)]) for row in rows])
     return spark.range(1).select(F.inline(entry))
+
+
+#: Most rows of a side that is sent to all tasks.
+FEW_ROWS = 1 << 18
+
+
+def few_rows(written: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """A written table of short rows, marked for sending where it is counted to have at most ``most`` rows."""
+    return F.broadcast(written) if written.count() <= most else written
