@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarmetric.llm import chat, codes, decontaminate, licenses, neighbours, packing, quality, secrets, sharding, simhash, urls, warc
+from tarmetric.llm import chat, codes, decontaminate, licenses, neighbours, packing, quality, repair, secrets, sharding, simhash, urls, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,10 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": secrets.op8_secrets,
         "op9_neighbours": neighbours.op9_neighbours,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op11_repair": repair.op11_repair,
         "op12_warc": warc.op12_warc,
         "op13_codes": codes.op13_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licenses": licenses.ORACLE, "op3_urls": urls.ORACLE, "op5_chat": chat.ORACLE, "op12_warc": warc.ORACLE, "op13_codes": codes.ORACLE}
+    return {"op2_licenses": licenses.ORACLE, "op3_urls": urls.ORACLE, "op5_chat": chat.ORACLE, "op11_repair": repair.ORACLE, "op12_warc": warc.ORACLE, "op13_codes": codes.ORACLE}
