@@ -42,7 +42,7 @@ from tarmetric.llm.common import few_rows, table
 from tarmetric.session import materialize, scratch_path
 
 LEAST_BYTES = 1000
-MEMBER_BYTES, BLOCK_BYTES, READ_BYTES = 32 << 20, 16 << 20, 1 << 20
+MEMBER_BYTES, BLOCK_BYTES, READ_BYTES = 32 << 20, 8 << 20, 1 << 20
 DATE = "2000-01-01T00:00:00Z"
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -167,7 +167,7 @@ class Package:
 
 
 def write_packages(typed: DataFrame, folder: str) -> DataFrame:
-    """The written table of packages: path, records. ``typed`` as from ``record_types``."""
+    """The written table of packages: path, records, bytes. ``typed`` as from ``record_types``."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = stores.FileSystem.from_uri(folder)
@@ -187,12 +187,13 @@ def write_packages(typed: DataFrame, folder: str) -> DataFrame:
                 package.add(warc_record(kind, here, known, url, digest, int(size), (payload or "").encode(), held if kind == "revisit" else None))
         if package:
             package.close()
+            size = stream.tell()
             stream.close()
             store.move(trial, f"{root}/{name}")
-            yield pd.DataFrame({"path": [name], "records": [package.records]})
+            yield pd.DataFrame({"path": [name], "records": [package.records], "bytes": [size]})
 
     rows = typed.select("page_id", "url", "payload", "payload_bytes", "digest", "record_type", "shared", F.spark_partition_id().alias("part"))
-    return materialize(rows.mapInPandas(write, "path string, records long"), "packages")
+    return materialize(rows.mapInPandas(write, "path string, records long, bytes long"), "packages")
 
 
 # --- reading ----------------------------------------------------------------------------------------------
@@ -283,18 +284,17 @@ def package_places(read, size: int) -> Iterator[tuple[int, int]]:
             yield from record_bounds(read, start, n)
 
 
-def _opened(store, path: str):
-    return store.open_input_file(path)
-
-
 def record_places(packages: DataFrame, folder: str) -> DataFrame:
-    """path, place, bytes of all records of the packages."""
+    """path, place, bytes of all records of the packages, dealt by package and block of bytes.
+
+    The number of tasks follows from the bytes to be read, not from the short rows that say where.
+    """
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = stores.FileSystem.from_uri(folder)
         for b in batches:
             for path in b["path"]:
-                with _opened(store, f"{root}/{path}") as f:
+                with store.open_input_file(f"{root}/{path}") as f:
                     rows = []
                     for row in package_places(lambda at, n, f=f: f.read_at(n, at), f.size()):
                         rows.append((path, *row))
@@ -304,11 +304,17 @@ def record_places(packages: DataFrame, folder: str) -> DataFrame:
                     if rows:
                         yield pd.DataFrame(rows, columns=["path", "place", "bytes"])
 
-    return packages.select("path").repartition("path").mapInPandas(find, "path string, place long, bytes long")
+    held = packages.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).head()
+    tasks = max(1, -(-held["bytes"] // BLOCK_BYTES))
+    found = packages.select("path").repartition(max(1, min(held["n"], tasks)), "path").mapInPandas(find, "path string, place long, bytes long")
+    return found.repartition(tasks, "path", F.floor(F.col("place") / BLOCK_BYTES)).sortWithinPartitions("path", "place")
 
 
 def read_records(places: DataFrame, folder: str) -> DataFrame:
-    """record_id, record_type, page_id, url, refers_to (a record id), stated_digest, payload_bytes and payload_digest of the payload that is there."""
+    """record_id, record_type, page_id, url, refers_to (a record id), stated_digest, payload_bytes and payload_digest of the payload that is there.
+
+    Each task reads the places it holds.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = stores.FileSystem.from_uri(folder)
@@ -319,7 +325,7 @@ def read_records(places: DataFrame, folder: str) -> DataFrame:
                 if own != path:
                     if f:
                         f.close()
-                    path, f = own, _opened(store, f"{root}/{own}")
+                    path, f = own, store.open_input_file(f"{root}/{own}")
                 fields, payload = parse_record(f.read_at(n, place))
                 stated = fields["warc-payload-digest"].removeprefix("sha1:")
                 rows.append((
@@ -331,9 +337,7 @@ def read_records(places: DataFrame, folder: str) -> DataFrame:
         if f:
             f.close()
 
-    block = F.floor(F.col("place") / BLOCK_BYTES)
-    dealt = places.withColumn("block", block).repartition("path", "block").sortWithinPartitions("path", "place")
-    return dealt.mapInPandas(read, "record_id string, record_type string, page_id long, url string, refers_to string, stated_digest string, payload_bytes long, payload_digest string")
+    return places.mapInPandas(read, "record_id string, record_type string, page_id long, url string, refers_to string, stated_digest string, payload_bytes long, payload_digest string")
 
 
 def resolved(records: DataFrame) -> DataFrame:
