@@ -11,17 +11,17 @@ OD = ["origin", "destination"]
 SUMMARY = ["node_path", "estimated_travel_time_min", "total_distance_km", "aggregate_risk_score", "max_segment_risk", "unsafe_segment_count"]
 
 
-def _named(summary: DataFrame, prefix: str) -> DataFrame:
-    return summary.select(*OD, *[F.col(c).alias(f"{prefix}_{c}") for c in SUMMARY])
+def _named(summary: DataFrame, prefix: str, key: list[str] = OD) -> DataFrame:
+    return summary.select(*key, *[F.col(c).alias(f"{prefix}_{c}") for c in SUMMARY])
 
 
-def compare_routes(pairs: DataFrame, fastest: DataFrame, safe: DataFrame) -> DataFrame:
-    """One row per pair: outcome, chosen route and the difference in minutes.
+def compare_routes(pairs: DataFrame, fastest: DataFrame, safe: DataFrame, key: list[str] = OD) -> DataFrame:
+    """One row per pair (or other ``key`` of the three tables): outcome, chosen route and the difference in minutes.
 
     ``fastest`` and ``safe`` are route summaries under the same context. A pair with no road at
     all is reported as ``no_route``; a road without a safe path as ``no_safe_route_available``.
     """
-    out = pairs.select(*OD).join(_named(fastest, "fastest"), OD, "left").join(_named(safe, "safe"), OD, "left")
+    out = pairs.select(*key).join(_named(fastest, "fastest", key), key, "left").join(_named(safe, "safe", key), key, "left")
     same = F.col("safe_node_path") == F.col("fastest_node_path")
     outcome = (
         F.when(F.col("fastest_node_path").isNull(), "no_route")
@@ -50,13 +50,13 @@ def compare_routes(pairs: DataFrame, fastest: DataFrame, safe: DataFrame) -> Dat
     )
 
 
-def decide(comparison: DataFrame, previous: DataFrame, margin: float = P.HYSTERESIS_SCORE) -> DataFrame:
+def decide(comparison: DataFrame, previous: DataFrame, margin: float = P.HYSTERESIS_SCORE, key: list[str] = OD) -> DataFrame:
     """Decision ladder of a new comparison against the route a pair already follows.
 
     ``previous`` is a route summary profiled under the new context; a pair without a row there
     has no previous route.
     """
-    out = comparison.join(_named(previous, "previous"), OD, "left")
+    out = comparison.join(_named(previous, "previous", key), key, "left")
     # Scores carry four decimals; the difference is taken in whole ten-thousandths.
     gain = F.rint((F.col("previous_aggregate_risk_score") - F.col("recommended_aggregate_risk_score")) * 10_000)
     infeasible = F.col("previous_unsafe_segment_count") > 0

@@ -186,6 +186,22 @@ def route_legs(labels: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
+def legs_to_destinations(edges: DataFrame, requests: DataFrame) -> DataFrame:
+    """Legs of the cheapest paths of ``requests``, from trees grown backwards from the destinations.
+
+    Many starts with one destination share its tree, so re-planning a fleet costs a tree per
+    destination and not one per position. Same columns as :func:`route_legs`.
+    """
+    back = edges.select("graph", F.col("dst").alias("src"), F.col("src").alias("dst"), "cost", "segment_id")
+    asked = materialize(requests.select("graph", F.col("destination").alias("origin"), F.col("origin").alias("destination")).distinct(), "back-requests")
+    legs = materialize(route_legs(shortest_paths(back, asked), asked), "back-legs")
+    last = legs.groupBy(*ROUTE).agg(F.max("leg_idx").alias("_last"))
+    return legs.join(last, ROUTE).select(
+        "graph", F.col("destination").alias("origin"), F.col("origin").alias("destination"),
+        (F.col("_last") - F.col("leg_idx")).alias("leg_idx"), F.col("v").alias("u"), F.col("u").alias("v"), "segment_id",
+    )
+
+
 ROUTE = ["graph", "origin", "destination"]
 
 

@@ -8,10 +8,10 @@ from tarmetric.functions.rounding import round_dp
 from tarmetric.operators import hazards as H
 from tarmetric.operators import intake as I
 from tarmetric.operators import trips as T
-from tarmetric.operators.routing import route_geometry
+from tarmetric.operators.routing import risk_cost, route_geometry, weighted
 from tarmetric.plans.fixtures import TRIP_AS_OF, hav, rnd
 from tarmetric.plans.q_risk import ACTIVE, active_hazards, as_of, hazard_context, live
-from tarmetric.plans.q_routing import OD, decisions, legs, scored, summary
+from tarmetric.plans.q_routing import OD, decisions, legs, risk_edges, scored, summary
 from tarmetric.plans.q_spatial import snapped
 from tarmetric.plans.registry import World, define, query
 
@@ -247,14 +247,66 @@ def hazards_ahead(w: World) -> DataFrame:
     return T.hazards_ahead(progress(w), own, hazard_context(w), OD).select("trip_id", "hazard_ahead")
 
 
+def trip_checks(w: World) -> DataFrame:
+    """Trips with what decides whether their route is planned anew; every eleventh was suspended before."""
+    own = legs(w).filter("graph = 'fast'").drop("graph")
+    rows = T.hazards_ahead(progress(w), own, hazard_context(w), OD)
+    return rows.withColumns({"started": F.col("started_at") <= until(), "was_suspended": F.col("trip_id") % 11 == 0})
+
+
+def checked(w: World) -> DataFrame:
+    own = legs(w).filter("graph = 'fast'").drop("graph")
+    return w.keep("checked_trips", lambda: T.checked_starts(trip_checks(w), own))
+
+
+def decided_under_way(w: World) -> DataFrame:
+    def build() -> DataFrame:
+        own = legs(w).filter("graph = 'fast'").drop("graph")
+        cost = risk_cost(F.col("travel_time_min"), F.col("risk_score"))
+        return T.decide_under_way(checked(w), own, scored(w, "live"), weighted(risk_edges(w, "live"), "safe", cost))
+
+    return w.keep("decided_under_way", build)
+
+
+define("ox_ahead", """
+    select p.trip_id, coalesce(bool_or(l.leg_idx>=p.leg_idx), false) as ahead from {ox_progress} p left join (select * from {ox_leg} where graph='fast' and segment_id in (select segment_id from {ox_ctx})) l
+    on l.origin=p.origin and l.destination=p.destination group by 1""")
+define("ox_checked", f"""
+    select trip_id, origin, destination, from_leg, u as node from (
+      select p.trip_id, p.origin, p.destination, case when p.trip_id%11=0 then 0 else p.leg_idx end as from_leg from {{ox_progress}} p join {{ox_ahead}} a using (trip_id)
+      where p.started_at<={TRIP_TIME} and (p.trip_id%11=0 or (a.ahead and not p.arrived))) c
+    join (select origin, destination, leg_idx as from_leg, u from {{ox_leg}} where graph='fast') using (origin, destination, from_leg)""")
+SCORE = rnd("greatest(0e0, least(1e0, 7e-1*max(risk_score)+(1e0-7e-1)*(sum(cast(round(risk_score*1e4) as bigint))/1e4/count(*))))", 4)
+define("ox_rest", """
+    select c.origin, c.destination, c.from_leg, any_value(c.node) as node, """ + SCORE + """ as score, count_if(closed or risk_score>=65e-2) as unsafe, concat(cast(any_value(c.node) as varchar), '>', string_agg(cast(l.v as varchar), '>' order by l.leg_idx)) as path
+    from (select distinct origin, destination, from_leg, node from {ox_checked}) c join {ox_leg} l on l.graph='fast' and l.origin=c.origin and l.destination=c.destination and l.leg_idx>=c.from_leg
+    join (select segment_id, risk_score, closed from {ox_live_seg}) using (segment_id) group by 1,2,3""")
+define("ox_anew", """
+    select node, destination, path, score from (select s.origin as node, s.node as destination, s.path, segs from {ox_sp} s where s.graph='safe' and (s.origin, s.node) in (select (node, destination) from {ox_rest})) s
+    join (select s.origin as node, s.node as destination, """ + SCORE + """ as score from (select origin, node, unnest(segs) as segment_id from {ox_sp} where graph='safe' and (origin, node) in (select (node, destination) from {ox_rest})) s
+      join (select segment_id, risk_score from {ox_live_seg}) using (segment_id) group by 1,2) using (node, destination)""")
+define("ox_under_way", """
+    select r.origin, r.destination, r.from_leg, r.node, r.path as rest_path, a.path as new_path, case when a.path is null then 'suspend' when a.path=r.path then 'unchanged' when r.unsafe>0 then 'infeasible'
+      when round((r.score-a.score)*1e4)<500 then 'hysteresis' else 'safer' end as decision_rule from {ox_rest} r left join {ox_anew} a on a.node=r.node and a.destination=r.destination""")
+
+
+@query("j5_reroute_from_node", """
+    select c.trip_id, c.from_leg, c.node as reroute_from_node, d.decision_rule, case d.decision_rule when 'suspend' then 'suspend' when 'infeasible' then 'reroute' when 'safer' then 'reroute' else 'continue' end as decision,
+    case when d.decision_rule in ('infeasible','safer') then d.new_path when d.decision_rule<>'suspend' then d.rest_path end as decided_node_path from {ox_checked} c join {ox_under_way} d using (origin, destination, from_leg)""")
+def reroute_from_node(w: World) -> DataFrame:
+    """Plan of every checked trip from the node its current leg begins at."""
+    plan = decided_under_way(w).select(*T.START, "decision_rule", "decision", "decided_node_path")
+    rows = checked(w).join(plan, T.START)
+    return rows.select("trip_id", F.col("from_leg").cast("long").alias("from_leg"), "reroute_from_node", "decision_rule", "decision", "decided_node_path")
+
+
 @query("j5_trip_status", f"""
-    select p.trip_id, case when p.started_at>{TRIP_TIME} then 'idle' when arrived and p.trip_id%11<>0 then 'arrived' when (a.ahead or p.trip_id%11=0) and d.decision='suspend' then 'suspended'
-    when (a.ahead or p.trip_id%11=0) and d.decision='reroute' then 'rerouting' else 'en_route' end as status from {{ox_progress}} p left join {{ox_decision}} d on d.origin=p.origin and d.destination=p.destination join (
-      select p.trip_id, coalesce(bool_or(l.leg_idx>=p.leg_idx), false) as ahead from {{ox_progress}} p left join (select * from {{ox_leg}} where graph='fast' and segment_id in (select segment_id from {{ox_ctx}})) l
-      on l.origin=p.origin and l.destination=p.destination group by 1) a on a.trip_id=p.trip_id""")
+    select p.trip_id, case when p.started_at>{TRIP_TIME} then 'idle' when arrived and p.trip_id%11<>0 then 'arrived' when d.decision_rule='suspend' then 'suspended'
+    when d.decision_rule in ('infeasible','safer') then 'rerouting' else 'en_route' end as status from {{ox_progress}} p left join (
+      select c.trip_id, u.decision_rule from {{ox_checked}} c join {{ox_under_way}} u using (origin, destination, from_leg)) d on d.trip_id=p.trip_id""")
 def trip_status(w: World) -> DataFrame:
-    """Every eleventh trip was suspended before, so it is checked again in any case."""
-    own = legs(w).filter("graph = 'fast'").drop("graph")
-    rows = T.hazards_ahead(progress(w), own, hazard_context(w), OD).join(decisions(w).select(*OD, "decision"), OD, "left")
-    status = T.trip_status(F.col("started_at") <= until(), F.col("arrived"), F.col("trip_id") % 11 == 0, F.col("hazard_ahead"), F.col("decision"))
+    """Decided on what lies ahead of the trip: a closed segment behind it suspends nobody."""
+    decided = checked(w).join(decided_under_way(w).select(*T.START, "decision"), T.START).select("trip_id", "decision")
+    rows = trip_checks(w).join(decided, "trip_id", "left")
+    status = T.trip_status(F.col("started"), F.col("arrived"), F.col("was_suspended"), F.col("hazard_ahead"), F.col("decision"))
     return rows.select("trip_id", status.alias("status"))

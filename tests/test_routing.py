@@ -3,11 +3,13 @@
 import heapq
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tarmetric.operators import decisions as D
 from tarmetric.operators import routing as R
+from tarmetric.operators import trips as T
 
 EDGES = "graph string, src bigint, dst bigint, cost double, segment_id string"
 REQUESTS = "graph string, origin bigint, destination bigint"
@@ -123,3 +125,45 @@ def test_profile_blend_and_counts(spark):
     pairs, fast, _, _, _ = world(spark, {"a": 0.6, "b": 0.2})
     r = fast.first()
     assert r.aggregate_risk_score == pytest.approx(0.7 * 0.6 + 0.3 * 0.4) and r.max_risk_segment_id == "a" and r.unsafe_segment_count == 0
+
+
+def test_trips_are_decided_on_what_lies_ahead(spark):
+    """Route 1>2>3>4 with the first segment closed; 3>5>4 is a way round the last one."""
+    legs = spark.createDataFrame([(1, 4, 0, 1, 2, "a"), (1, 4, 1, 2, 3, "b"), (1, 4, 2, 3, 4, "c")], "origin int, destination int, leg_idx int, u int, v int, segment_id string")
+    rows = [("a", 1.0, 1.0, 0.9, "critical", True), ("b", 1.0, 1.0, 0.1, "low", False), ("c", 1.0, 1.0, 0.9, "critical", False), ("d", 2.0, 2.0, 0.1, "low", False), ("e", 2.0, 2.0, 0.1, "low", False)]
+    risk = spark.createDataFrame(rows, "segment_id string, distance_km double, travel_time_min double, risk_score double, risk_level string, closed boolean")
+    safe = spark.createDataFrame([(1, "g", 2, 3, 1.2, "b"), (1, "g", 3, 5, 2.4, "d"), (1, "g", 5, 4, 2.4, "e")], "x int, g string, src int, dst int, cost double, segment_id string")
+    safe = safe.select(F.lit("safe").alias("graph"), "src", "dst", "cost", "segment_id")
+    trips = spark.createDataFrame(
+        [(1, 0, True, False, False, True), (2, 1, True, False, False, True), (3, 2, True, False, False, True), (4, 2, True, False, True, False), (5, 1, True, False, False, False), (6, 0, False, False, False, True), (7, 2, True, True, False, True)],
+        "trip_id int, leg_idx int, started boolean, arrived boolean, was_suspended boolean, hazard_ahead boolean",
+    ).withColumns({"origin": F.lit(1), "destination": F.lit(4)})
+    checked = T.checked_starts(trips, legs)
+    # a suspended trip stands at the start, a moving one at the beginning of its current leg; trips 5 to 7 are not checked
+    assert {r.trip_id: (r.from_leg, r.reroute_from_node) for r in checked.collect()} == {1: (0, 1), 2: (1, 2), 3: (2, 3), 4: (0, 1)}
+    plan = {r.from_leg: (r.decision, r.decision_rule, r.decided_node_path) for r in T.decide_under_way(checked, legs, risk, safe).collect()}
+    assert plan[0][:2] == ("suspend", "suspend")
+    # past the closed segment nobody is suspended: the unsafe last one is driven round
+    assert plan[1] == ("reroute", "infeasible", "2>3>5>4") and plan[2] == ("reroute", "infeasible", "3>5>4")
+
+
+def test_trees_grown_backwards_give_forward_paths(spark):
+    rng = np.random.default_rng(4)
+    edges = [(int(a), int(b), float(c)) for a, b, c in zip(rng.integers(0, 30, 120), rng.integers(0, 30, 120), rng.uniform(1, 9, 120), strict=True) if a != b]
+    table = spark.createDataFrame([("g", a, b, c, f"s{i}") for i, (a, b, c) in enumerate(edges)], "graph string, src int, dst int, cost double, segment_id string")
+    asked = spark.createDataFrame([("g", o, d) for d in (3, 17) for o in range(30) if o != d], "graph string, origin int, destination int")
+    forward = R.route_legs(R.shortest_paths(table, asked), asked)
+    back = R.legs_to_destinations(table, asked)
+    cost = {f"s{i}": c for i, (_, _, c) in enumerate(edges)}
+
+    def paths(legs):
+        out = {}
+        for r in sorted(legs.collect(), key=lambda r: r.leg_idx):
+            out.setdefault((r.origin, r.destination), []).append((r.u, r.v, r.segment_id))
+        return out
+
+    a, b = paths(forward), paths(back)
+    assert a.keys() == b.keys() and a
+    for key, path in b.items():
+        assert path[0][0] == key[0] and path[-1][1] == key[1] and all(x[1] == y[0] for x, y in zip(path, path[1:], strict=False))
+        assert sum(cost[s] for *_, s in path) == pytest.approx(sum(cost[s] for *_, s in a[key]))
