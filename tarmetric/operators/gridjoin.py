@@ -190,6 +190,35 @@ def nearest_edges(
     return salted_join(keyed, found, ["_lat", "_lng"], "left", counts=counts).drop("_lat", "_lng")
 
 
+def file_edges(edges: DataFrame, threshold_m: float, table: str, path: str, buckets: int) -> DataFrame:
+    """Write the cells of every edge once as a table in ``buckets`` buckets by cell, for many small point sets.
+
+    A network version has one such table; points are shuffled to its buckets and it is not.
+    """
+    unique = edges.groupBy(*EDGE).agg(F.min("segment_id").alias("segment_id"))
+    cells = _buffered_cells(unique, _cell_deg(threshold_m)).repartition(buckets, "iy", "ix")
+    cells.write.bucketBy(buckets, "iy", "ix").sortBy("iy", "ix").mode("overwrite").option("path", path).saveAsTable(table)
+    return edges.sparkSession.table(table)
+
+
+def nearest_filed(points: DataFrame, filed: DataFrame, threshold_m: float, lat: str = "latitude", lng: str = "longitude") -> DataFrame:
+    """:func:`nearest_edges` with ``always=False`` against a table of :func:`file_edges` at the same threshold.
+
+    One join and one aggregation; the columns of a point that has no place stay, with NULLs.
+    """
+    deg = _cell_deg(threshold_m)
+    iy = F.floor(F.col(lat) / deg)
+    probes = points.withColumns({"iy": iy, "_lat": F.col(lat), "_lng": F.col(lng)}).withColumn("ix", F.floor(F.col(lng) / _lng_width(F.col("iy"), deg)))
+    spots = probes.select("iy", "ix", F.col("_lat").alias("lat"), F.col("_lng").alias("lng")).dropna().distinct()
+    near = _best(spots.join(filed, ["iy", "ix"]), ["lat", "lng"]).filter(F.col("_m.dist_km") * 1000.0 <= threshold_m)
+    spot = closest_on_edge(F.col("lat"), F.col("lng"), *[F.col(f"_m.{c}") for c in EDGE])
+    found = near.select(
+        F.col("lat").alias("_lat"), F.col("lng").alias("_lng"), F.col("_m.segment_id").alias("nearest_id"), F.col("_m.dist_km").alias("nearest_km"),
+        spot["lat"].alias("nearest_lat"), spot["lng"].alias("nearest_lng"),
+    )
+    return probes.join(found, ["_lat", "_lng"], "left").drop("_lat", "_lng", "iy", "ix")
+
+
 def polygon_cells(polygons: DataFrame, base_deg: float = 0.01) -> DataFrame:
     """File each polygon under at most 2 x 2 cells of a level that fits its own extent.
 

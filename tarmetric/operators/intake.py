@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tarmetric import params as P
 from tarmetric.functions.risk import lookup
 from tarmetric.functions.rounding import round_dp
-from tarmetric.operators.gridjoin import nearest_edges
+from tarmetric.operators.gridjoin import nearest_edges, nearest_filed
 from tarmetric.operators.hazards import build_hazards
 
 
@@ -33,9 +33,14 @@ def validate_reports(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.filter(F.col("reject_reason").isNull()).drop("reject_reason"), checked.filter(F.col("reject_reason").isNotNull())
 
 
-def snap_reports(reports: DataFrame, edges: DataFrame, max_m: float = P.REPORT_SNAP_M, always: bool = True) -> DataFrame:
-    """Nearest segment and an accepted flag; farther than ``max_m`` (strictly) is rejected."""
-    near = nearest_edges(reports, edges, max_m, always=always)
+def snap_reports(
+    reports: DataFrame, edges: DataFrame | None, max_m: float = P.REPORT_SNAP_M, always: bool = True, filed: DataFrame | None = None
+) -> DataFrame:
+    """Nearest segment and an accepted flag; farther than ``max_m`` (strictly) is rejected.
+
+    With ``filed``, a table of ``file_edges`` at ``max_m``, reports without an edge within reach get no segment.
+    """
+    near = nearest_edges(reports, edges, max_m, always=always) if filed is None else nearest_filed(reports, filed, max_m)
     meters = F.col("nearest_km") * 1000.0
     return (
         near.withColumn("accepted", F.coalesce(meters <= max_m, F.lit(False)))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tarmetric.functions.geo import point
 from tarmetric.plans.fixtures import view, with_views
-from tarmetric.session import materialize
+from tarmetric.session import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +27,7 @@ class World:
         self.spark, self.sf_dir = spark, sf_dir
         self._views: dict[str, DataFrame] = {}
         self._kept: dict[str, DataFrame] = {}
+        self._folders: dict[str, str] = {}
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> World:
@@ -45,6 +46,14 @@ class World:
             self._kept[name] = materialize(build(), name)
         return self._kept[name]
 
+    def folder(self, name: str, run: Callable[[str], None]) -> str:
+        """A folder of tables that ``run`` fills on first use, such as the output of a stream."""
+        if name not in self._folders:
+            path = scratch_path(self.spark, name)
+            run(path)
+            self._folders[name] = path
+        return self._folders[name]
+
     @property
     def segments(self) -> DataFrame:
         """All projected segments with geometry and score inputs."""

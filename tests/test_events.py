@@ -39,20 +39,81 @@ def brute_duplicates(rows):
     }
 
 
-def test_duplicates_match_brute_force_and_stream(spark):
+def files(spark, path, schema, batches):
+    """A stream of files, one a batch, in the given order."""
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_duplicates_match_brute_force_and_stream(spark, tmp_path):
     rows = reports()
     df = spark.createDataFrame(rows, REPORTS)
     want = brute_duplicates(rows)
     assert {r.report_id: r.possible_duplicate for r in I.flag_duplicates(df).collect()} == want
-    path = scratch_path(spark, "test-reports")
-    for k, lo in enumerate(range(0, 300, 100)):
-        part = sorted(rows, key=lambda r: (r[3], r[0]))[lo:lo + 100]
-        spark.createDataFrame(part, REPORTS).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(path)
-    out = []
-    q = V.stream_duplicates(stream).writeStream.foreachBatch(lambda b, _: out.extend(b.collect()))
-    q.option("checkpointLocation", scratch_path(spark, "test-offsets")).trigger(availableNow=True).start().awaitTermination()
-    assert {r.report_id: r.possible_duplicate for r in out} == want
+    events = [tuple(r) for r in V.report_events(df).collect()]
+    schema = "kind string, report_id long, incident_type string, segment_id string, at timestamp"
+    rng = random.Random(5)
+    events.sort(key=lambda e: e[4] + timedelta(minutes=rng.random() * 50))  # up to 50 minutes out of order
+    batches = [events[i:i + 80] for i in range(0, len(events), 80)]
+    last = max(e[4] for e in events)
+    batches += [[("report", 999, "a", "s1", T0), ("resolve", 5, "b", "s1", T0)], [("tick", None, None, None, last + timedelta(days=1))]]
+    q = V.start_duplicates(files(spark, str(tmp_path / "in"), schema, batches), str(tmp_path / "out"), str(tmp_path / "offsets"), "60 minutes")
+    q.awaitTermination()
+    out = spark.read.schema(V.FLAGS).parquet(str(tmp_path / "out")).collect()
+    assert len(batches) > 5 and {r.report_id: r.possible_duplicate for r in out if not r.late} == want
+    # too late: beside, and no flag changed
+    assert sorted((r.kind, r.report_id) for r in out if r.late) == [("report", 999), ("resolve", 5)]
+    # quiet keys hold no state and no timer
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
+
+
+def test_windows_close_by_watermark_and_late_events_stand_beside(spark, tmp_path):
+    minute = timedelta(minutes=1)
+    schema = "who string, at timestamp"
+    batches = [
+        [("x", T0), ("x", T0 + 4 * minute), ("y", T0 + 6 * minute)], [("x", T0 + 40 * minute), ("x", T0 + 2 * minute)],
+        [("x", T0 + 200 * minute)], [("x", T0 + 3 * minute), ("y", T0 + 190 * minute)], [("x", T0 + 70 * minute)], [(None, T0 + timedelta(days=2))],
+    ]
+    for k, (length, slide) in enumerate([(300, 300), (600, 300), (1800, None)]):
+        out = V.stream_windows(files(spark, str(tmp_path / f"in{k}"), schema, batches), ["who"], "60 minutes", length, slide)
+        got = []
+        q = out.writeStream.foreachBatch(lambda b, _: got.extend(b.collect())).option("checkpointLocation", str(tmp_path / f"o{k}")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        at = lambda r: (r.who, (r.start_us - int((T0 - datetime(1970, 1, 1)).total_seconds() * 1e6)) // 60_000_000, r.events)
+        done, late = sorted(at(r) for r in got if not r.late), sorted(at(r) for r in got if r.late)
+        assert late == [("x", 3, 1), ("x", 70, 1)]
+        if k == 0:
+            assert done == [("x", 0, 3), ("x", 40, 1), ("x", 200, 1), ("y", 5, 1), ("y", 190, 1)]
+        elif k == 1:
+            assert done == [("x", -5, 3), ("x", 0, 3), ("x", 35, 1), ("x", 40, 1), ("x", 195, 1), ("x", 200, 1), ("y", 0, 1), ("y", 5, 1), ("y", 185, 1), ("y", 190, 1)]
+        else:
+            assert done == [("x", 0, 3), ("x", 40, 1), ("x", 200, 1), ("y", 6, 1), ("y", 190, 1)]
+        assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
+
+
+def test_trip_state_over_mixed_batches(spark, tmp_path):
+    p = lambda lat: {"lat": lat, "lng": 92.0}
+    route = ["origin", "destination"]
+    segments = spark.createDataFrame([("a", [p(27.0), p(27.1)]), ("b", [p(27.1), p(27.2)]), ("c", [p(27.2), p(27.3)])], "segment_id string, geometry array<struct<lat:double,lng:double>>")
+    legs = spark.createDataFrame([(1, 4, 0, "a"), (1, 4, 1, "b"), (1, 4, 2, "c")], "origin long, destination long, leg_idx int, segment_id string")
+    geometry = spark.createDataFrame([(1, 4, [p(27.0), p(27.1), p(27.2), p(27.3)])], "origin long, destination long, geometry array<struct<lat:double,lng:double>>")
+    trips = spark.createDataFrame([(k, 1, 4, 30.0) for k in (1, 2, 3)], "trip_id long, origin long, destination long, speed_kmph double")
+    at = lambda m: T0 + timedelta(minutes=m)
+    pings = [[(1, at(5), 27.15, 92.0)], [(1, at(1), 27.02, 92.0), (2, at(2), 27.05, 92.0)], [(2, at(9), 27.3, 92.001)], [(1, at(6), 27.25, 92.0)], [(1, at(7), 27.24, 92.0)]]
+    schema = "hazard_id long, segment_id string, weather_factor double, incident_factor double, is_closure boolean, action string, at_us long"
+    h = lambda i, seg, what, us: (i, seg, None, 1.0, True, what, us)
+    changes = [[h(1, "a", "create", 1)], [h(2, "c", "clear", 9), h(3, "b", "create", 2)], [h(2, "c", "create", 3)], [h(4, "c", "create", 4)], [h(4, "c", "clear", 8), h(5, "c", "create", 9)]]
+    stream = V.stream_trips(files(spark, str(tmp_path / "p"), "trip_id long, at timestamp, lat double, lng double", pings), files(spark, str(tmp_path / "h"), schema, changes), trips, V.legs_along(legs, segments, route), geometry, route)
+    got = {}
+    q = stream.writeStream.foreachBatch(lambda b, i: got.update({(r.trip_id, i): r for r in b.collect()})).outputMode("update")
+    q.option("checkpointLocation", str(tmp_path / "o")).trigger(availableNow=True).start().awaitTermination()
+    one, two = got[1, 4], got[2, max(i for t, i in got if t == 2)]
+    assert (one.leg_idx, one.current_segment_id, one.pings, one.hazard_ahead, one.progress) == (2, "c", 4, True, 0.8333)
+    assert one.distance_remaining_km == pytest.approx(5.56, abs=0.01) and one.eta_minutes == pytest.approx(11.1, abs=0.1)
+    # the hazard on the first leg lies behind trip 1 from its first ping on
+    assert not got[1, 0].hazard_ahead and got[1, 1].hazard_ahead
+    assert two.arrived and two.progress == 1.0 and two.eta_minutes == 0.0 and not any(t == 3 for t, _ in got)
 
 
 def test_hazard_context_rules(spark):
@@ -175,10 +236,14 @@ def test_clear_may_arrive_before_its_create(spark, tmp_path):
     schema = "hazard_id long, segment_id string, weather_factor double, incident_factor double, is_closure boolean, action string, at_us long"
     create = lambda h, at: (h, "s", 0.2, 0.9, True, "create", at)
     clear = lambda h, at: (h, "s", 0.2, 0.9, True, "clear", at)
-    for k, rows in enumerate([[clear(1, 50)], [create(1, 10), create(2, 20)], [clear(2, 30)], [create(3, 5)]]):
+    for k, rows in enumerate([[clear(1, 50)], [create(1, 10), create(2, 20)], [(9, "z", None, None, False, "clear", 40)], [clear(2, 30)], [create(3, 5)], [(None, None, None, None, None, None, 9 * 86_400_000_000)]]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"part{k}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
-    live.start_context(stream, str(tmp_path / "out"), str(tmp_path / "offsets")).awaitTermination()
-    last = spark.read.parquet(str(tmp_path / "out")).orderBy(F.desc("batch_id")).first()
-    assert (last["active"], last["closed"]) == (1, True) and last["batch_id"] == 3
-    assert spark.read.parquet(str(tmp_path / "out")).where("batch_id = 2 and active = 0 and not closed").count() == 1
+    q = live.start_context(stream, str(tmp_path / "out"), str(tmp_path / "offsets"), "1 day", merge_every=3)
+    q.awaitTermination()
+    rows = {r.segment_id: r for r in live.read_context(spark, str(tmp_path / "out")).collect()}
+    assert (rows["s"]["active"], rows["s"]["closed"]) == (1, True) and rows["z"]["active"] == 0
+    names = lambda kind: sorted(x.name for x in (tmp_path / "out" / kind).iterdir())
+    assert len(names("snapshots")) >= 1 and len(names("batches")) < len(names("pointers")) + 4
+    # hazard 3 is open; the mark of a clear without its create has gone with the watermark
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
