@@ -78,8 +78,8 @@ class PieceIds(dict):
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             joined = b""
-        elif "<|" not in text and _PLAIN.fullmatch(text):
-            joined = b"".join(map(self.__getitem__, _RUN.findall(text.lower())))
+        elif "<|" not in text and _PLAIN.fullmatch(low := text.lower()):
+            joined = b"".join(map(self.__getitem__, _RUN.findall(low)))
         else:
             joined = self.encode(text)
         return np.frombuffer(joined + END_ID.to_bytes(4, "little"), dtype="<u4")
@@ -165,7 +165,7 @@ def allowed_cuts(ids: np.ndarray, ends: np.ndarray, sentence_ids: np.ndarray, le
 
 
 def pack_stream(docs: Iterator[tuple], length: int, sentence_ids: np.ndarray, block: int = BLOCK) -> Iterator[tuple]:
-    """(doc_id, start, length, crc32, doc tokens, sequence, offset) of the pieces of ``docs`` (doc_id, ids)."""
+    """(doc_id, start, length, crc32, doc tokens, sequence, offset, ids) of the pieces of ``docs`` (doc_id, ids)."""
     held: list[list] = []  # doc_id, ids not yet packed, start of these, tokens of the document
     size, sequence = 0, 0
 
@@ -183,7 +183,7 @@ def pack_stream(docs: Iterator[tuple], length: int, sentence_ids: np.ndarray, bl
                 doc, own, start, tokens = held[k]
                 begin = at - (int(ends[k]) - len(own))
                 piece = own[begin : begin + to - at]
-                yield doc, start + begin, to - at, zlib.crc32(piece.tobytes()), tokens, sequence, at - left
+                yield doc, start + begin, to - at, zlib.crc32(piece.tobytes()), tokens, sequence, at - left, piece
                 at = to
                 if to == ends[k]:
                     k += 1
@@ -208,13 +208,13 @@ def pack_stream(docs: Iterator[tuple], length: int, sentence_ids: np.ndarray, bl
         yield from flush(True)
 
 
-def pack_documents(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None) -> DataFrame:
-    """Pieces of the packed sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack_documents(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
+    """Pieces of the packed sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and on demand their ids."""
     path = tokenizer or public_tokenizers.path(TOKENIZER)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = piece_ids(path)
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
         base, rows = 0, []
 
         def stream() -> Iterator[tuple]:
@@ -225,18 +225,20 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, tokenizer: str | None
 
         def frame(rows: list[tuple]) -> pd.DataFrame:
             out = pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+            if with_ids:
+                out["ids"] = [x.astype(np.int32) for x in out["ids"]]
             out["sequence_id"] += base
             return out
 
         for row in pack_stream(stream(), length, np.array(sorted(known.ends), dtype=np.uint32)):
-            rows.append(row)
+            rows.append(row if with_ids else row[:-1])
             if len(rows) >= 10_000:
                 yield frame(rows)
                 rows = []
         if rows:
             yield frame(rows)
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long"), "text", F.spark_partition_id().alias("_part")).mapInPandas(pack, schema)
 
 
