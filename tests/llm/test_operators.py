@@ -150,6 +150,17 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(docs(spark, [])).count() == 0
 
 
+def test_ids_equal_the_tokenizers_on_its_whole_alphabet():
+    known = packing.PieceIds(packing.public_tokenizers.path(packing.TOKENIZER))
+    letters = [c for c in map(chr, range(0x20, 0x250)) if c.isprintable()] + list("\u2010\u2019\u2026\t\n'")
+    rng = np.random.default_rng(17)
+    texts = ["".join(rng.choice(letters, rng.integers(1, 14))) for _ in range(30_000)] + [f"a{c}b" for c in letters]
+    texts += [x + y for x in letters[:500:7] for y in letters]
+    want = known.tokenizer.encode_batch(texts, add_special_tokens=False)
+    wrong = [t for t, w in zip(texts, want, strict=True) if known.ids(t).tolist() != [*w.ids, 2]]
+    assert not wrong, wrong[:5]
+
+
 def test_blocks_do_not_lose_tokens():
     ids = [np.r_[np.random.default_rng(k).integers(5, 90, 700), 2].astype("<u4") for k in range(30)]
     got = list(packing.pack_stream(zip(range(30), ids), 256, np.array([7, 8]), block=2000))
@@ -350,6 +361,21 @@ def test_spanning_links_connect_what_is_near(closest):
     assert [len(x) for x in simhash_wide.spanning(own[:1], 6, closest)] == [0, 0]
 
 
+def test_blocks_decide_by_exact_overlaps():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(-40, 40, rng.integers(0, 60))).astype(np.int64) for _ in range(70)]
+    sets += [np.arange(20000, dtype=np.int64), np.arange(18000, dtype=np.int64), np.zeros(0, dtype=np.int64)]
+    near = simhash_wide.similar(sets, sets[::-1])
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[::-1]):
+            both = len(np.intersect1d(a, b))
+            assert near[i, j] == (5 * both >= 4 * (len(a) + len(b) - both)), (i, j)
+    links = np.zeros((6, 5), dtype=bool)
+    links[[0, 0, 1, 2, 4, 4], [0, 1, 1, 3, 3, 3]] = True
+    a, b = simhash_wide.forest(links)
+    assert sorted(zip(a.tolist(), b.tolist())) == [(0, 0), (0, 1), (1, 1), (2, 3), (4, 3)]
+
+
 def test_thresholds_reach_the_goal_at_least_cost():
     widths = [16] * 40
     costs = [[0.0, 1.0 + k, 30.0 * (1 + k), 900.0 * (1 + k)] for k in range(40)]
@@ -506,3 +532,85 @@ def test_leaks_with_names_that_open_sentences_and_long_numbers(spark):
     texts = [f"{prose(1)} {item.replace('Anna', 'Bertha')}", f"{prose(2)} {item.replace('12', '1,200').replace('30', '3.5')}", f"{prose(3)} {item}", prose(4)]
     got = decontaminate.find_leaks(docs(spark, list(enumerate(texts))), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
     assert sorted(r["doc_id"] for r in got) == [0, 1, 2]
+
+def test_leaks_by_template_alone_mean_something(spark):
+    rng = np.random.default_rng(12)
+    numbers = lambda n, low: " ".join(map(str, rng.integers(low, low + 9000, n)))
+    bench = spark.createDataFrame([(1, numbers(200, 100)), (2, "name the largest planet"), (3, "Anna lives near Paris and Anna reads 12 books about the sea every long winter")], "item_id long, text string")
+    item = "Anna lives near Paris and Anna reads 12 books about the sea every long winter"
+    names = [item.replace("Anna", x) for x in ("Mary Ann", "Mary-Ann", "ÉMILE", "Bo")] + [item.replace("Paris", "New York").replace("12", "1,200")]
+    texts = [numbers(2000, 20000), "please " + bench.head()["text"], f"{prose(1)} Name the largest planet now {prose(2)}", "name the largest", f"{prose(3)} and {item.replace('Anna', 'Bo', 1).replace('Paris', 'Rome').replace('sea', 'sky')}", *[f"{prose(9 + k)} here {x}." for k, x in enumerate(names)]]
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs(spark, list(enumerate(texts))), bench).collect())
+    assert got == [(1, 1), (2, 2), *[(5 + k, 3) for k in range(len(names))]]
+    # one template many times over is one row for each document and item
+    rows = [(k, " ".join(f"row {i} has {i + k} of them now" for i in range(400))) for k in range(3)]
+    many = spark.createDataFrame([(1, rows[0][1])], "item_id long, text string")
+    windows = decontaminate.item_windows(many)
+    assert decontaminate.document_hashes(docs(spark, rows), windows).groupBy("doc_id").count().agg(F.max("count")).head()[0] <= 2 * 7 * 400
+    # a column of the caller's stays what it is
+    kept = decontaminate.remove_leaked(docs(spark, [(1, prose(5))]).withColumn("_k1", F.lit("mine")).withColumn("_row", F.lit(3)), bench).collect()
+    assert [(r["_k1"], r["_row"], r["doc_id"]) for r in kept] == [("mine", 3, 1)]
+
+
+def plain_words(text):
+    return re.findall(decontaminate.TOKEN, text or "")
+
+
+def test_leaks_like_a_plain_version(spark):
+    """All windows of all pairs compared, word for word or by template with slots consistent over the document."""
+    rng = np.random.default_rng(21)
+    words = ["apple", "tree", "river", "counts", "and", "walks", "to", "of", "small", "Anna", "Bo", "Paris", "Rome", "12", "7", "3.5", "1,200", "km", "days"]
+
+    def typed(text):
+        own = plain_words(text)
+        kinds = []
+        for i, w in enumerate(own):
+            number = i > 0 and re.fullmatch(r"[0-9]+([.,][0-9]+)*", own[i - 1])
+            kinds.append("u" if number and w in decontaminate.UNITS else "n" if re.fullmatch(r"[0-9]+([.,][0-9]+)*", w) else "p" if w[0].isupper() and len(w) > 1 and w.isalpha() else None)
+        out = [(k, w.lower()) for i, (w, k) in enumerate(zip(own, kinds, strict=True)) if not (k == "p" and i + 1 < len(own) and kinds[i + 1] == "p")]
+        return [w.lower() for w in own], out
+
+    def windows(seq):
+        return [tuple(seq[i : i + 5]) for i in range(max(1, len(seq) - 4))] if seq else []
+
+    def leaks(text, item):
+        (dw, dt), (iw, it) = typed(text), typed(item)
+        if len(iw) < 5 or not dw:
+            return False
+        held = set(windows(dw))
+        if sum(w in held for w in windows(iw)) >= 0.8 * len(windows(iw)):
+            return True
+        shape = lambda w: tuple(k or x for k, x in w)
+        fit = lambda w: sum(k is None for k, _ in w) >= 2
+        by = {}
+        for at, w in enumerate(windows(dt)):
+            if fit(w):
+                by.setdefault(shape(w), []).append((at, w))
+        own = [(at, w) for at, w in enumerate(windows(it)) if fit(w)]
+        if sum(shape(w) in by for _, w in own) < 0.8 * len(windows(it)):
+            return False
+        spots = {None: {}}
+        count = {}
+        for at, w in own:
+            for d, x in by.get(shape(w), []):
+                count.setdefault(d - at, set()).add(at)
+                for place in (None, d - at):
+                    for (k, a), (_, b) in zip(w, x, strict=True):
+                        if k:
+                            spots.setdefault(place, {}).setdefault(a, set()).add(b)
+        scores = [np.mean([len(v) == 1 for v in values.values()]) if values else 1.0 for place, values in spots.items() if place is None or len(count[place]) >= 0.8 * len(windows(it))]
+        return max(scores) >= 0.8
+
+    items = [" ".join(rng.choice(words, rng.integers(6, 16))) for _ in range(30)]
+    texts = []
+    for k in range(120):
+        own = items[k % 30].split()
+        for i in range(len(own)):
+            if rng.random() < 0.12:
+                own[i] = str(rng.choice(words))
+        swap = {"Anna": "Zoe", "12": "99", "Rome": "Oslo"} if k % 3 == 0 else {}
+        texts.append(" ".join(rng.choice(words, 20)) + " " + " ".join(swap.get(w, w) for w in own))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs(spark, list(enumerate(texts))), bench).collect()}
+    want = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if leaks(t, x)}
+    assert got == want and 10 < len(want) < 110
