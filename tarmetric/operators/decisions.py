@@ -104,6 +104,11 @@ def attach_hazards(decisions: DataFrame, active: DataFrame) -> DataFrame:
     return decisions.crossJoin(F.broadcast(totals))
 
 
+def route_hazards(legs: DataFrame, active: DataFrame) -> DataFrame:
+    """``graph, origin, destination, hazard_id``: the active hazards on the segments of each route."""
+    return legs.select("graph", *OD, "segment_id").join(active.select("segment_id", "hazard_id"), "segment_id").select("graph", *OD, "hazard_id").distinct()
+
+
 def corridor_pairs(places: DataFrame, position: str, node: str = "node_id") -> DataFrame:
     """Consecutive pairs of an ordered list of places (a short reference list)."""
     order = W.orderBy(position)

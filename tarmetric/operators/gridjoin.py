@@ -190,6 +190,51 @@ def nearest_edges(
     return salted_join(keyed, found, ["_lat", "_lng"], "left", counts=counts).drop("_lat", "_lng")
 
 
+def nearest_points(queries: DataFrame, points: DataFrame, k: int, cell_deg: float = 0.01) -> DataFrame:
+    """``qid, id, dist_km, rank``: the ``k`` nearest points of every query, ties to the lower id.
+
+    ``queries``: ``qid, lat, lng``; ``points``: ``id, lat, lng``. Queries walk down a pyramid of occupied cells that
+    know how many points they hold. At each level the cells that surely hold ``k`` points bound the k-th
+    distance, and cells that begin beyond it are dropped; only points of the last few cells are measured.
+    """
+    leaves = points.select("id", F.col("lat").alias("_lat"), F.col("lng").alias("_lng"), F.floor(F.col("lat") / cell_deg).alias("cy"), F.floor(F.col("lng") / cell_deg).alias("cx"))
+    scale = F.pow(F.lit(float(FANOUT)), F.col("level"))
+    counted = leaves.groupBy("cy", "cx").agg(F.count(F.lit(1)).alias("n")).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+    cells = counted.groupBy("level", F.floor(F.col("cy") / scale).alias("cy"), F.floor(F.col("cx") / scale).alias("cx")).agg(F.sum("n").alias("n"))
+    cells = materialize(cells, "counted-cells")
+    per_level = {r["level"]: r["count"] for r in cells.groupBy("level").count().collect()}
+    top = min((level for level, n in per_level.items() if n <= ROOT_CELLS), default=LEVELS)
+
+    def bounded(cand: DataFrame, level: int) -> DataFrame:
+        size = cell_deg * FANOUT**level
+        reach = size / 2 * math.sqrt(2) * KM_PER_DEG * 1.01
+        d = haversine_km(F.col("lat"), F.col("lng"), F.col("cy") * size + size / 2, F.col("cx") * size + size / 2)
+        ranked = cand.withColumn("_d", d)
+        held = F.sum("n").over(W.partitionBy("qid").orderBy("_d", "cy", "cx"))
+        # the nearest cells that hold k points together reach no farther than the last of them
+        ranked = ranked.withColumn("_enough", F.when(held >= k, F.col("_d")))
+        ranked = ranked.withColumn("_ub", F.coalesce(F.min("_enough").over(W.partitionBy("qid")), F.lit(float("inf"))))
+        return ranked.filter(F.col("_d") - 2 * reach <= F.col("_ub")).select("qid", "lat", "lng", "cy", "cx")
+
+    def at(level: int) -> DataFrame:
+        return cells.filter(F.col("level") == level).select("cy", "cx", "n")
+
+    # at most ROOT_CELLS cells, so they go along as a constant
+    root = [F.struct(*[F.lit(r[c]).cast("long").alias(c) for c in ("cy", "cx", "n")]) for r in at(top).collect()]
+    if not root:
+        none = points.schema["id"].dataType
+        return queries.select("qid", F.lit(None).cast(none).alias("id"), F.lit(0.0).alias("dist_km"), F.lit(0).alias("rank")).filter("false")
+    cand = bounded(queries.select("qid", "lat", "lng", F.inline(F.array(*root))), top)
+    for level in range(top - 1, -1, -1):
+        parent = (F.floor(F.col("cy") / FANOUT).alias("py"), F.floor(F.col("cx") / FANOUT).alias("px"))
+        parents = cand.select("qid", "lat", "lng", F.col("cy").alias("py"), F.col("cx").alias("px"))
+        cand = bounded(parents.join(at(level).select(*parent, "cy", "cx", "n"), ["py", "px"]).drop("py", "px"), level)
+    near = salted_join(cand, leaves, ["cy", "cx"])
+    near = near.select("qid", "id", round_dp(haversine_km(F.col("lat"), F.col("lng"), F.col("_lat"), F.col("_lng")), 7).alias("dist_km"))
+    rank = F.row_number().over(W.partitionBy("qid").orderBy("dist_km", "id"))
+    return near.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def file_edges(edges: DataFrame, threshold_m: float, table: str, path: str, buckets: int) -> DataFrame:
     """Write the cells of every edge once as a table in ``buckets`` buckets by cell, for many small point sets.
 

@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tarmetric import params as P
-from tarmetric.functions.geo import haversine_km, polyline_km, representative_point
+from tarmetric.functions.geo import polyline_km, representative_point
 from tarmetric.functions.risk import base_risk, lookup, terrain_class
 from tarmetric.functions.rounding import round_dp
 from tarmetric.functions.text import stripped
-from tarmetric.operators.gridjoin import nearest_edges, node_edges
+from tarmetric.operators.gridjoin import nearest_edges, nearest_points, node_edges
 from tarmetric.operators.skew import ordinal, running_sum, salted_join
 from tarmetric.session import drop_path, materialize, scratch_path
 
@@ -176,21 +176,17 @@ def dangling_endpoints(nodes: DataFrame, segments: DataFrame) -> DataFrame:
 def with_terrain(segments: DataFrame, terrain: DataFrame, places: DataFrame) -> DataFrame:
     """Sampled elevation and slope where present, else the nearest reference place by midpoint.
 
-    ``terrain``: ``segment_id, elevation_m, slope_deg``. ``places`` is the short reference list
-    (at most a few hundred rows), so it travels as one broadcast array.
+    ``terrain``: ``segment_id, elevation_m, slope_deg``. The nearest place is found on the grid, for
+    any number of places; of places at one distance the lower elevation counts.
     """
-    refs = places.agg(F.collect_list(F.struct("lat", "lng", "elevation_m")).alias("_refs"))
     joined = segments.join(terrain.select("segment_id", F.col("elevation_m").alias("_dem"), "slope_deg"), "segment_id", "left")
     mid = representative_point(F.col("geometry"))
-    ranked = F.array_min(
-        F.transform(
-            "_refs",
-            lambda r: F.struct(haversine_km(mid["lat"], mid["lng"], r["lat"], r["lng"]).alias("d"), r["elevation_m"].alias("e")),
-        )
-    )
-    elevation = round_dp(F.coalesce(F.col("_dem"), ranked["e"], F.lit(P.FALLBACK_ELEVATION_M)), 1)
+    asked = joined.filter(F.col("_dem").isNull()).select(F.col("segment_id").alias("qid"), mid["lat"].alias("lat"), mid["lng"].alias("lng"))
+    refs = nearest_points(asked, places.select(F.col("elevation_m").alias("id"), "lat", "lng"), 1)
+    joined = joined.join(refs.select(F.col("qid").alias("segment_id"), F.col("id").alias("_ref")), "segment_id", "left")
+    elevation = round_dp(F.coalesce(F.col("_dem"), F.col("_ref"), F.lit(P.FALLBACK_ELEVATION_M)), 1)
     sampled = F.col("_dem").isNotNull()
-    out = joined.crossJoin(F.broadcast(refs)).withColumn("elevation_m", elevation)
+    out = joined.withColumn("elevation_m", elevation)
     out = out.withColumn("slope_deg", F.when(sampled, round_dp("slope_deg", 2)))
     out = out.withColumn("terrain_type", terrain_class(F.col("elevation_m")))
     out = out.withColumn("base_risk", base_risk(F.col("terrain_type"), F.lit(0.0), F.lit(0.0)))
@@ -208,7 +204,7 @@ def with_terrain(segments: DataFrame, terrain: DataFrame, places: DataFrame) ->
         F.lit("terrain_type"), F.lit("derived: elevation thresholds"),
         F.lit("susceptibility"), F.lit("not assessed"),
     )
-    return out.withColumn("source", source).drop("_dem", "_refs")
+    return out.withColumn("source", source).drop("_dem", "_ref")
 
 
 def directed_edges(segments: DataFrame) -> DataFrame:
@@ -291,7 +287,7 @@ def in_box(lat: Column, lng: Column) -> Column:
 
 def resolve_locations(requests: DataFrame, nodes: DataFrame, text: str = "location") -> DataFrame:
     """Node for a text location: id first, then name, both without regard to case; NULL if unknown."""
-    needle = F.lower(F.trim(F.col(text)))
+    needle = F.lower(stripped(F.col(text)))
     ids = nodes.groupBy(F.lower(F.col("node_id").cast("string")).alias("_needle")).agg(F.min("node_id").alias("_by_id"))
     names = (
         nodes.filter(F.col("name").isNotNull())

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tarmetric import params as P
-from tarmetric.functions.geo import haversine_km, resample
+from tarmetric.functions.geo import haversine_km, representative_point, resample
 from tarmetric.functions.rounding import round_dp
+from tarmetric.operators.gridjoin import nearest_points
 from tarmetric.operators.skew import running_sum
 
 
@@ -149,18 +150,9 @@ def terrain_quality(segments: DataFrame) -> DataFrame:
 
 
 def nearest_segments_by_midpoint(places: DataFrame, segments: DataFrame, k: int) -> DataFrame:
-    """The ``k`` segments whose midpoint is nearest to each named place.
-
-    ``places`` is a short reference list, so the pairing costs one scan of ``segments``; the rank
-    limit is applied per input partition before anything is shuffled.
-    """
-    mid = F.element_at("geometry", (F.floor(F.size("geometry") / 2) + 1).cast("int"))
-    pairs = segments.withColumn("_m", mid).crossJoin(F.broadcast(places.select("name", F.col("lat").alias("_lat"), F.col("lng").alias("_lng"))))
-    far = round_dp(haversine_km(F.col("_lat"), F.col("_lng"), F.col("_m.lat"), F.col("_m.lng")), 7)
-    order = W.partitionBy("name").orderBy("distance_km_to_place", "segment_id")
-    return (
-        pairs.withColumn("distance_km_to_place", far)
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .drop("_m", "_lat", "_lng")
-    )
+    """The ``k`` segments whose midpoint is nearest to each named place, for any number of places."""
+    mid = representative_point(F.col("geometry"))
+    points = segments.select(F.col("segment_id").alias("id"), mid["lat"].alias("lat"), mid["lng"].alias("lng"))
+    near = nearest_points(places.select(F.col("name").alias("qid"), "lat", "lng"), points, k)
+    near = near.select(F.col("qid").alias("name"), F.col("id").alias("segment_id"), F.col("dist_km").alias("distance_km_to_place"), "rank")
+    return near.join(segments.drop("name"), "segment_id")

@@ -272,6 +272,14 @@ def affected_segments(w: World) -> DataFrame:
     return D.affected_segments(active_hazards(w))
 
 
+@query("h13_route_hazard_ids", """
+    select distinct l.graph, l.origin, l.destination, a.hazard_id, d.decision from {ox_leg} l join {ox_active} a using (segment_id) join {ox_decision} d on d.origin=l.origin and d.destination=l.destination where l.graph in ('fast', 'calm')""")
+def route_hazard_ids(w: World) -> DataFrame:
+    """The hazards behind each decision: those on the fastest route and on the one followed before."""
+    found_ = D.route_hazards(legs(w).filter("graph in ('fast', 'calm')"), active_hazards(w))
+    return found_.join(decisions(w).select(*OD, "decision"), OD)
+
+
 @query("h14_corridor_legs", """
     select leg_no, c.origin, c.destination, outcome, fastest_score, recommended_score from {ox_corridor} c join {ox_cmp_live} m on m.origin=c.origin and m.destination=c.destination""")
 def corridor_legs(w: World) -> DataFrame:

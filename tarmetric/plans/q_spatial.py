@@ -206,6 +206,23 @@ def knn_by_midpoint(w: World) -> DataFrame:
     )
 
 
+define("ox_knn_segment", """
+    select *, row_number() over (partition by name order by d, segment_id) as r from (
+      select a.segment_id as name, b.segment_id, b.elevation_m, floor(""" + hav("a.latm", "a.lngm", "b.latm", "b.lngm") + """*1e7+5e-1)/1e7 as d from {road_segment} a cross join {road_segment} b)""")
+
+
+@query("d10_knn_of_segments", """
+    select name, min_by(segment_id, r) as nearest_segment_id, string_agg(segment_id, ' ' order by r) as nearest_5, floor(avg(elevation_m)*1e1+5e-1)/1e1 as mean_elevation_5 from {ox_knn_segment} where r<=5 group by 1""")
+def knn_of_segments(w: World) -> DataFrame:
+    """Every segment's midpoint as a place."""
+    places = w.segments.select(F.col("segment_id").alias("name"), F.col("latm").alias("lat"), F.col("lngm").alias("lng"))
+    near = T.nearest_segments_by_midpoint(places, w.segments.drop("name"), 5)
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "segment_id")))
+    return near.groupBy("name").agg(
+        F.min_by("segment_id", "rank").alias("nearest_segment_id"), F.array_join(F.transform(ordered, lambda x: x["segment_id"]), " ").alias("nearest_5"), round_dp(F.avg("elevation_m"), 1).alias("mean_elevation_5")
+    )
+
+
 define("ox_history", """
     select segment_id, coalesce(n,0) as historical_landslide_count, d as nearest_landslide_distance_m from (select segment_id from {road_segment}) left join (
     select matched_segment_id, count(*) as n, min(distance_to_road_m) as d from {ox_match} where match_status='MATCHED' group by 1) on matched_segment_id=segment_id""")
