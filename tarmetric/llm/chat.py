@@ -10,7 +10,8 @@ Template: ``<|im_start|>role\\ntext<|im_end|>\\n``. In texts and roles a backsla
 covers the texts of assistant turns.
 
 Cases: null roles and texts are empty; a null order comes first; turns of equal order go by role and text;
-repeated rows are turns of their own; rows without conversation form one; an unknown layout gives no turn but is
+repeated rows are turns of their own; rows without conversation form one; an id that is no whole number is a hash
+of itself; fields that no layout knows are ignored, and a content in parts is its texts, joined; an unknown layout gives no turn but is
 kept as a row of layout ``unknown`` by ``canonical_turns``; other columns change no layout in the query, which
 names its columns.
 """
@@ -53,6 +54,7 @@ class Layout:
 LAYOUTS = (
     Layout("turn", ("conv_id", "role", "text", "turn"), (("role", "text"),), order="turn"),
     Layout("messages", ("conv_id", "messages[].content", "messages[].role"), (("role", "content"),), each="messages"),
+    Layout("message_parts", ("conv_id", "messages[].content[].text", "messages[].content[].type", "messages[].role"), (("role", "content"),), each="messages"),
     Layout("exchange", ("conv_id", "conversations[].from", "conversations[].value"), (("from", "value"),), each="conversations", roles=EXCHANGE_ROLES),
     Layout("prompt", ("conv_id", "prompt", "response"), (("=user", "prompt"), ("=assistant", "response"))),
     Layout("completion", ("completion", "conv_id", "prompt"), (("=user", "prompt"), ("=assistant", "completion"))),
@@ -76,6 +78,36 @@ def fingerprint(paths) -> int:
 
 
 MAPPINGS = {fingerprint(layout.paths): layout for layout in LAYOUTS}
+KNOWN_PATHS = frozenset(p for layout in LAYOUTS for p in layout.paths)
+
+
+def layout_of(record) -> Layout | None:
+    """The layout of a parsed record: by its fingerprint, by that of the fields any layout knows, or the one with the most fields among these."""
+    if not isinstance(record, dict):
+        return None
+    paths = field_paths(record)
+    found = MAPPINGS.get(fingerprint(paths)) or MAPPINGS.get(fingerprint(paths & KNOWN_PATHS))
+    return found or max((x for x in LAYOUTS if paths.issuperset(x.paths)), key=lambda x: len(x.paths), default=None)
+
+
+def conversation_id(value) -> int | None:
+    """An id as 64 bits: a whole number as it is, any other value by a hash of its text."""
+    if value is None or value == "":
+        return None
+    try:
+        number = int(value) if not isinstance(value, float) or value.is_integer() else None
+    except (TypeError, ValueError):
+        number = None
+    if number is not None and -(1 << 63) <= number < 1 << 63:
+        return number
+    return xxhash.xxh64_intdigest(json.dumps(value, sort_keys=True)) - (1 << 63)
+
+
+def said_text(value) -> str:
+    """A text, or the texts of a list of parts."""
+    if isinstance(value, list):
+        return "".join(said_text(x.get("text") if isinstance(x, dict) else x) for x in value)
+    return "" if value is None else str(value)
 
 
 def turns_of(record: dict, layout: Layout) -> Iterator[tuple[int | None, str, str]]:
@@ -85,7 +117,7 @@ def turns_of(record: dict, layout: Layout) -> Iterator[tuple[int | None, str, st
     for item in items:
         for role, text in layout.turns:
             who = role[1:] if role.startswith("=") else item.get(role) or ""
-            said = "\n\n".join(str(item.get(p)) for p in text.split("\n\n") if item.get(p))
+            said = "\n\n".join(said_text(item.get(p)) for p in text.split("\n\n") if item.get(p))
             yield (record.get(layout.order) if layout.order else n), names.get(who, who), said
             n += 1
 
@@ -101,11 +133,12 @@ def canonical_turns(records: DataFrame) -> DataFrame:
                     record = json.loads(raw) if raw else None
                 except ValueError:
                     record = None
-                layout = MAPPINGS.get(fingerprint(field_paths(record))) if isinstance(record, dict) else None
+                layout = layout_of(record)
                 if layout is None:
-                    out.append((record.get("conv_id") if isinstance(record, dict) else None, None, None, None, "unknown"))
+                    out.append((conversation_id(record.get("conv_id")) if isinstance(record, dict) else None, None, None, None, "unknown"))
                 else:
-                    out += [(record["conv_id"], *turn, layout.name) for turn in turns_of(record, layout)]
+                    conv = conversation_id(record["conv_id"])
+                    out += [(conv, *turn, layout.name) for turn in turns_of(record, layout)]
             frame = pd.DataFrame(out, columns=["conv_id", "turn", "role", "text", "layout"])
             yield frame.astype({"conv_id": "Int64", "turn": "Int64"})
 

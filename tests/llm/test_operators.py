@@ -198,6 +198,17 @@ def test_layouts_by_fingerprint(spark):
     assert sum(g[4] == "unknown" for g in got) == 3
 
 
+def test_layouts_with_further_fields_and_other_ids(spark):
+    raw = [
+        '{"conv_id":"7","prompt":"q","response":"a","source":"s","meta":{"x":[1]}}', '{"conv_id":"c-8","messages":[{"role":"user","content":"q","name":"n"}],"id":3}',
+        '{"conv_id":9,"messages":[{"role":"user","content":[{"type":"text","text":"q"},{"type":"text","text":"r"}]},{"role":"assistant","content":"a"}]}',
+    ]
+    got = [(r["conv_id"], r["turn"], r["role"], r["text"], r["layout"]) for r in chat.canonical_turns(spark.createDataFrame([(r,) for r in raw], "record string")).collect()]
+    other = chat.conversation_id("c-8")
+    assert {(7, 0, "user", "q", "prompt"), (7, 1, "assistant", "a", "prompt"), (other, 0, "user", "q", "messages"), (9, 1, "assistant", "a", "message_parts")} <= set(got)
+    assert (9, 0, "user", "qr", "message_parts") in got and len(got) == 5 and chat.conversation_id(None) is None and chat.conversation_id(1.5) != chat.conversation_id("1.5")
+
+
 def test_escape_is_reversible():
     rng = np.random.default_rng(2)
     for _ in range(500):
