@@ -65,6 +65,41 @@ def sample_elevation(points: DataFrame, grid: DataFrame, key: list[str], tile_sa
     return points.join(summed.select(*key, elev.alias("elev")), key, "left")
 
 
+def sample_blocks(
+    points: DataFrame, blocks: DataFrame, tile_samples: int = P.TILE_SAMPLES, intervals: int = P.TILE_BLOCK_INTERVALS
+) -> DataFrame:
+    """``points(..., lat, lng)`` with bilinear ``elev`` read from raster blocks; NULL without usable samples.
+
+    All corners of a point stand in one block, so this is one equi-join on the block's key and no aggregation.
+    Corners that are void or absent are treated as in ``sample_elevation``.
+    """
+    n = tile_samples - 1
+    placed = (
+        points.withColumn("tile_lat", F.floor("lat").cast("int"))
+        .withColumn("tile_lng", F.floor("lng").cast("int"))
+        .withColumn("_rf", (F.col("tile_lat") + 1 - F.col("lat")) * n)
+        .withColumn("_cf", (F.col("lng") - F.col("tile_lng")) * n)
+        .withColumn("_r0", F.least(F.floor("_rf"), F.lit(n - 1)).cast("int"))
+        .withColumn("_c0", F.least(F.floor("_cf"), F.lit(n - 1)).cast("int"))
+        .withColumn("block_row", F.floor(F.col("_r0") / intervals).cast("int"))
+        .withColumn("block_col", F.floor(F.col("_c0") / intervals).cast("int"))
+    )
+    read = placed.join(blocks, ["tile_lat", "tile_lng", "block_row", "block_col"], "left")
+
+    def at(row: Column, col: Column) -> Column:
+        place = (row - F.col("block_row") * intervals) * F.col("width") + (col - F.col("block_col") * intervals)
+        value = F.get("samples", place.cast("int")).cast("double")
+        return F.when(value != P.TILE_VOID, value)
+
+    r0, c0 = F.col("_r0"), F.col("_c0")
+    fr, fc = F.col("_rf") - r0, F.col("_cf") - c0
+    top = at(r0, c0) * (1 - fc) + at(r0, c0 + 1) * fc
+    bottom = at(r0 + 1, c0) * (1 - fc) + at(r0 + 1, c0 + 1) * fc
+    bilinear = top * (1 - fr) + bottom * fr  # NULL as soon as one corner is
+    nearest = at(F.rint("_rf").cast("int"), F.rint("_cf").cast("int"))
+    return read.select(*points.columns, F.coalesce(bilinear, nearest).alias("elev"))
+
+
 def terrain_samples(segments: DataFrame, interval_m: float = P.SAMPLE_INTERVAL_M) -> DataFrame:
     """``segment_id, seq, lat, lng`` along every segment."""
     return segments.select("segment_id", F.posexplode(resample(F.col("geometry"), interval_m)).alias("seq", "p")).select(
@@ -123,6 +158,12 @@ def profile_segments(segments: DataFrame, grid: DataFrame, tile_samples: int = P
     return segment_terrain(sample_elevation(samples, grid, ["segment_id", "seq"], tile_samples))
 
 
+def profile_from_blocks(segments: DataFrame, blocks: DataFrame, tile_samples: int = P.TILE_SAMPLES, intervals: int = P.TILE_BLOCK_INTERVALS) -> DataFrame:
+    """Terrain of every segment from raster blocks, as read from tile files."""
+    samples = with_distance_along(terrain_samples(segments))
+    return segment_terrain(sample_blocks(samples, blocks, tile_samples, intervals))
+
+
 def terrain_quality(segments: DataFrame) -> DataFrame:
     """One-row report: coverage, medians and implausible values.
 

@@ -102,6 +102,7 @@ SAMPLE_INTERVAL_M = 90.0
 MIN_SLOPE_SAMPLES = 2
 TILE_SAMPLES = 3601
 TILE_VOID = -32768
+TILE_BLOCK_INTERVALS = 60
 PLAUSIBLE_ELEVATION_M = (-20.0, 6000.0)
 SUSPICIOUS_SLOPE_DEG = 25.0
 

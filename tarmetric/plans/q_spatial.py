@@ -19,7 +19,7 @@ from tarmetric.plans.q_network import built_network, components
 from tarmetric.plans.q_sources import zone_ring
 from tarmetric.plans.registry import World, define, query
 from tarmetric.session import scratch_path
-from tarmetric.sources import writers
+from tarmetric.sources import readers, writers
 
 
 def nearest_sql(points: str, key: str, lat: str, lng: str, edges: str) -> str:
@@ -191,6 +191,86 @@ def segment_terrain(w: World) -> DataFrame:
     )
 
 
+def fine_elev_sql(row: str, col: str, coarse: str) -> str:
+    """Sample of a full-size tile: the coarse sample before it plus a small step; voids stay voids."""
+    return f"case when {coarse}=-32768 then -32768 else {coarse}+({row}*7+{col}*3)%11 end"
+
+
+define("ox_fine_key", """
+    select *, cast(least(floor(rf), 3599) as int) as r0, cast(least(floor(cf), 3599) as int) as c0 from (
+      select segment_id, seq, tl, tg, (tl+1-lat)*3600 as rf, (lng-tg)*3600 as cf from (
+        select *, cast(floor(lat) as int) as tl, cast(floor(lng) as int) as tg from {ox_sample}))""")
+define("ox_fine_elev", """
+    select segment_id, seq, case when void=0 then v else near end as elev from (
+      select segment_id, seq, count_if(e is null or e=-32768) as void, sum(wt*e) as v, max(case when e<>-32768 and row_no=round_even(rf,0) and col_no=round_even(cf,0) then e end)*1e0 as near from (
+        select q.*, """ + fine_elev_sql("row_no", "col_no", "g.elev") + """ as e from (
+          select s.*, r0+dr as row_no, c0+dc as col_no, (case when dr=0 then 1e0-(rf-r0) else rf-r0 end)*(case when dc=0 then 1e0-(cf-c0) else cf-c0 end) as wt
+          from {ox_fine_key} s cross join (select 0 as dr union all select 1) a cross join (select 0 as dc union all select 1) b) q
+        left join {dem_grid} g on g.tile_lat=q.tl and g.tile_lng=q.tg and g.row=row_no//60 and g.col=col_no//60) group by all)""")
+define("ox_fine_profile", """
+    select segment_id, avg(elev) as mean_e, min(elev) as lo, max(elev) as hi, count(*) as samples, count(elev) as valid, sum(climb) as rise,
+           max(case when elev is not null then along_m end)-min(case when elev is not null then along_m end) as run from (
+      select *, abs(elev-lag(elev ignore nulls) over (partition by segment_id order by seq)) as climb from {ox_along} join {ox_fine_elev} using (segment_id, seq)) group by 1""")
+
+
+def tile_folder(w: World) -> str:
+    """Full-size tile files made of the coarse grid, written once per session."""
+
+    def write(path: str) -> None:
+        coarse = F.array_sort(F.collect_list(F.struct("col", "elev")))
+        lines = w["dem_grid"].groupBy("tile_lat", "tile_lng", "row").agg(F.transform(coarse, lambda x: x["elev"]).alias("coarse"))
+        # a coarse line stands for sixty fine ones, the last for one
+        rows = F.sequence(F.lit(0), F.when(F.col("row") < 60, 59).otherwise(0))
+        lines = lines.select("tile_lat", "tile_lng", "coarse", F.explode(F.transform(rows, lambda i: F.col("row") * 60 + i)).alias("row"))
+
+        def fine(c):
+            held = F.get("coarse", F.floor(c / 60).cast("int"))
+            return F.when(held == P.TILE_VOID, held).otherwise(held + (F.col("row") * 7 + c * 3) % 11)
+
+        lines = lines.select("tile_lat", "tile_lng", "row", F.transform(F.sequence(F.lit(0), F.lit(3600)), fine).alias("samples"))
+        writers.write_tiles(lines, path).write.format("noop").mode("overwrite").save()
+
+    return w.folder("tiles", write)
+
+
+def tile_blocks(w: World) -> DataFrame:
+    return w.keep("tile_blocks", lambda: readers.read_tile_blocks(w.spark, tile_folder(w)))
+
+
+@query("a5_tile_scan", """
+    select tile_lat, tile_lng, count(*) as samples, count_if(e=-32768) as voids, min(case when e<>-32768 then e end) as min_elev, max(case when e<>-32768 then e end) as max_elev,
+           cast(sum(case when e<>-32768 then e end) as bigint) as sum_elev, cast(sum(case when e<>-32768 then (r*31+c)%97*e end) as bigint) as place_sum
+    from (select tile_lat, tile_lng, r, c, """ + fine_elev_sql("r", "c", "elev") + """ as e from (
+      select tile_lat, tile_lng, row*60+i as r, col*60+j as c, elev from {dem_grid} cross join (select k as i from {grid_step} where k<60) cross join (select k as j from {grid_step} where k<60))
+      where r<=3600 and c<=3600) group by all""")
+def tile_scan(w: World) -> DataFrame:
+    """Every sample of the tile files, read back once: counts, range and a sum that depends on the places."""
+    e = F.when(F.col("elev") != P.TILE_VOID, F.col("elev"))
+    return readers.block_rows(tile_blocks(w)).groupBy("tile_lat", "tile_lng").agg(
+        F.count(F.lit(1)).alias("samples"), F.count_if(e.isNull()).alias("voids"), F.min(e).alias("min_elev"), F.max(e).alias("max_elev"),
+        F.sum(e).alias("sum_elev"), F.sum((F.col("row") * 31 + F.col("col")) % 97 * e).alias("place_sum"),
+    )
+
+
+def tile_samples(w: World) -> DataFrame:
+    return w.keep("tile_samples", lambda: T.sample_blocks(T.with_distance_along(T.terrain_samples(built_network(w))), tile_blocks(w)))
+
+
+@query("d8_tile_sampling", "select segment_id, seq, " + rnd("elev", 4) + " as elev from {ox_fine_elev}")
+def tile_sampling(w: World) -> DataFrame:
+    return tile_samples(w).select("segment_id", F.col("seq").cast("long").alias("seq"), round_dp("elev", 4).alias("elev"))
+
+
+@query("d9_tile_terrain", """
+    select segment_id, """ + rnd("mean_e", 3) + " as elevation_m, " + rnd("lo", 3) + " as min_elevation_m, " + rnd("hi", 3) + " as max_elevation_m, samples as sample_count, valid as valid_sample_count, "
+    + rnd("case when valid>=2 and run>0 then degrees(atan(rise/run)) end", 4) + " as slope_deg from {ox_fine_profile}")
+def tile_terrain(w: World) -> DataFrame:
+    return T.segment_terrain(tile_samples(w)).select(
+        "segment_id", *[round_dp(c, 3).alias(c) for c in ("elevation_m", "min_elevation_m", "max_elevation_m")],
+        "sample_count", "valid_sample_count", round_dp("slope_deg", 4).alias("slope_deg"),
+    )
+
+
 KNN_SQL = """
     select p.name, s.segment_id, s.elevation_m, """ + rnd(hav("p.lat", "p.lng", "latm", "lngm"), 7) + """ as km,
     row_number() over (partition by p.name order by """ + rnd(hav("p.lat", "p.lng", "latm", "lngm"), 7) + """, s.segment_id) as r from {place} p cross join {road_segment} s"""

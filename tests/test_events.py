@@ -213,8 +213,11 @@ def test_readers(spark, tmp_path):
     grid = np.arange(9, dtype=">i2").reshape(3, 3)
     (tiles / "S01W002.hgt.gz").write_bytes(gzip.compress(grid.tobytes()))
     (tiles / "N27E092.hgt").write_bytes(b"\0\0")
-    rows = readers.read_tiles(spark, str(tiles), tile_samples=3, rows_per_split=2).collect()
+    (tiles / "notes.hgt").write_bytes(b"not a tile")
+    rows = readers.read_tiles(spark, str(tiles), tile_samples=3, strict=False).collect()
     assert {(r.tile_lat, r.tile_lng) for r in rows} == {(-1, -2)} and {(r.row, r.col): r.elev for r in rows}[(2, 1)] == 7
+    with pytest.raises(Exception, match="2 bytes, not 18"):
+        readers.read_tiles(spark, str(tiles), tile_samples=3).collect()
     fc = tmp_path / "ways.geojson"
     fc.write_text('{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"osm_id":7,"highway":"trunk"},"geometry":{"type":"LineString","coordinates":[[92.0,27.0],[92.1,27.1]]}},'
                   '{"type":"Feature","properties":{"osm_id":8},"geometry":{"type":"LineString","coordinates":[[92.0,27.0]]}}]}')

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tarmetric.functions.geo import edge_distance_km
@@ -184,3 +185,27 @@ def test_white_space_and_line_breaks(spark, tmp_path):
     (tmp_path / "inventory.csv").write_text(head + '1,a,s,"two\nlines",27.0,92.0,x,y\n')
     rows = read_inventory(spark, str(tmp_path / "inventory.csv")).collect()
     assert len(rows) == 1 and rows[0]["description_before_coordinates"] == "two\nlines"
+
+
+def test_raster_blocks_sample_like_the_grid(spark, tmp_path):
+    """Blocks of any size give the elevations of the long grid, on edges, voids, far edges and absent tiles."""
+    from tarmetric.sources import readers, writers
+
+    rng = random.Random(5)
+    n = 8
+    lines = [(lat, 91, r, [-32768 if rng.random() < 0.1 else rng.randrange(-50, 3000) for _ in range(n)]) for lat in (26, -1) for r in range(n)]
+    df = spark.createDataFrame(lines, "tile_lat int, tile_lng int, row int, samples array<int>")
+    path = str(tmp_path / "tiles")
+    assert sorted(writers.write_tiles(df, path).collect()) == [("N26E091", n), ("S01E091", n)]
+    grid = readers.read_tiles(spark, path, tile_samples=n)
+    assert {(r.tile_lat, r.row, r.col): r.elev for r in grid.collect()} == {(t, r, c): e for t, _, r, s in lines for c, e in enumerate(s)}
+    pts = [(i, rng.choice([26, -1, 40]) + rng.choice([0.0, 1 / 7, 0.999999, rng.random()]), 91 + rng.choice([0.0, 3 / 7, 0.5, rng.random()])) for i in range(300)]
+    points = spark.createDataFrame(pts, "id int, lat double, lng double")
+    want = {r.id: r.elev for r in T.sample_elevation(points, grid, ["id"], tile_samples=n).collect()}
+    for side in (2, 3, 7):
+        blocks = readers.read_tile_blocks(spark, path, tile_samples=n, intervals=side)
+        assert {(r.row, r.col, r.tile_lat): r.elev for r in readers.block_rows(blocks, n, side).collect()} == {(r.row, r.col, r.tile_lat): r.elev for r in grid.collect()}
+        got = {r.id: r.elev for r in T.sample_blocks(points, blocks, n, side).collect()}
+        assert got.keys() == want.keys()
+        for i, e in want.items():
+            assert got[i] == (None if e is None else pytest.approx(e, abs=1e-9))
