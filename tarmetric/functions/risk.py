@@ -152,7 +152,7 @@ def reasons(
         weather_factor.isNull(), "No weather context supplied (not confirmed clear weather)"
     )
     incident_text = F.when(i > 0, F.format_string("Active incident contribution (factor=%.2f)", incident_factor))
-    score_text = F.format_string("Risk score: %.2f (rule-based estimate, not a probability)", risk["risk_score"])
+    score_text = F.format_string("Risk score: %.2f (rule-based estimate, not a probability)", round_dp(risk["risk_score"], 2))
     return F.array_compact(
         F.array(slope_text, history_text, zone_text, weather_text, incident_text, score_text)
     )

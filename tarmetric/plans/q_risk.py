@@ -123,7 +123,8 @@ REASONS = """
       case when landslide_hazard_score is not null then concat('Landslide zonation: ', landslide_hazard_class, ' (score=', printf('%.2f', landslide_hazard_score), ', source=layer)')
            else 'No landslide zonation coverage, historical evidence only' end,
       case when """ + clamp_sql("weather_factor") + """>0 then concat('Elevated weather risk (factor=', w_txt, ')') when weather_factor is null then 'No weather context supplied (not confirmed clear weather)' end,
-      case when """ + clamp_sql("incident_factor") + """>0 then concat('Active incident contribution (factor=', printf('%.2f', incident_factor), ')') end) as reasons
+      case when """ + clamp_sql("incident_factor") + """>0 then concat('Active incident contribution (factor=', printf('%.2f', incident_factor), ')') end,
+      concat('Risk score: ', printf('%.2f', floor(risk_score*1e2+5e-1)/1e2), ' (rule-based estimate, not a probability)')) as reasons
     from (select *, """ + slope_sql() + """ as sr, printf('%.2f', floor(weather_factor*1e2+5e-1)/1e2) as w_txt from {ox_live})"""
 
 
@@ -134,12 +135,12 @@ def reasons(w: World) -> DataFrame:
         F.col("slope_deg"), F.col("historical_landslide_count"), F.col("nearest_landslide_distance_m"), F.col("landslide_hazard_class"),
         F.col("landslide_hazard_score"), F.lit("layer"), round_dp("weather_factor", 2), F.col("incident_factor"), risk,
     )
-    # The closing sentence repeats the score, which f5 compares as a number.
-    return live(w).select("segment_id", F.concat_ws(" | ", F.slice(rows, 1, F.size(rows) - 1)).alias("reasons"))
+    return live(w).select("segment_id", F.concat_ws(" | ", rows).alias("reasons"))
 
 
 @query("f8_input_metadata", """
     select segment_id, coalesce(cast(slope_deg as varchar), '') as slope_deg, cast(historical_landslide_count as varchar) as historical_landslide_count,
+    coalesce(cast(elevation_m as varchar), '') as elevation_m, coalesce(cast(nearest_landslide_distance_m as varchar), '') as nearest_landslide_distance_m,
     coalesce(landslide_hazard_class, '') as landslide_hazard_class, case when weather_factor is not null then 'true' else 'false' end as weather_factor_supplied,
     case when incident_factor is not null then 'true' else 'false' end as incident_factor_supplied from {ox_live}""")
 def input_metadata(w: World) -> DataFrame:
@@ -148,7 +149,7 @@ def input_metadata(w: World) -> DataFrame:
         "nearest_landslide_distance_m": F.col("nearest_landslide_distance_m"), "landslide_hazard_class": F.col("landslide_hazard_class"),
         "weather_factor_supplied": F.col("weather_factor").isNotNull(), "incident_factor_supplied": F.col("incident_factor").isNotNull(),
     })
-    shown = ["slope_deg", "historical_landslide_count", "landslide_hazard_class", "weather_factor_supplied", "incident_factor_supplied"]
+    shown = ["slope_deg", "elevation_m", "historical_landslide_count", "nearest_landslide_distance_m", "landslide_hazard_class", "weather_factor_supplied", "incident_factor_supplied"]
     return live(w).withColumn("m", m).select("segment_id", *[F.col("m")[k].alias(k) for k in shown])
 
 

@@ -13,7 +13,7 @@ from tarmetric.operators import decisions as D
 from tarmetric.operators import network as N
 from tarmetric.operators import routing as R
 from tarmetric.plans.fixtures import rnd
-from tarmetric.plans.q_risk import active_hazards, calm, level_sql, live, score_sql
+from tarmetric.plans.q_risk import active_hazards, calm, clamp_sql, history_sql, level_sql, live, score_sql, slope_sql
 from tarmetric.plans.registry import World, define, query
 
 OD = D.OD
@@ -329,11 +329,14 @@ def dominant_status(w: World) -> DataFrame:
 
 @query("h18_route_kpis", """
     select origin, destination, total_distance_km, case when m>=60 then concat(cast(cast(floor(m/60) as bigint) as varchar), 'h ', cast(m%60 as varchar), 'm') else concat(cast(m as varchar), 'm') end as eta_text,
-    legs as segments, n_high+n_critical as high_critical_segments, max_risk_level as worst_level from (select *, cast(floor(estimated_travel_time_min+5e-1) as bigint) as m from {ox_sum_live}) where graph='fast'""")
+    legs as segments, n_high+n_critical as high_critical_segments, max_risk_level as worst_level, worst_slope_risk, worst_history_risk, worst_weather_risk, worst_incident_risk
+    from (select *, cast(floor(estimated_travel_time_min+5e-1) as bigint) as m from {ox_sum_live}) join (select segment_id as max_risk_segment_id, """ + rnd(slope_sql(), 4) + " as worst_slope_risk, "
+    + rnd(history_sql("historical_landslide_count", "nearest_landslide_distance_m", "landslide_hazard_score"), 4) + " as worst_history_risk, " + rnd(clamp_sql("weather_factor"), 4) + " as worst_weather_risk, "
+    + rnd(clamp_sql("incident_factor"), 4) + " as worst_incident_risk from {ox_live_seg}) using (max_risk_segment_id) where graph='fast'")
 def route_kpis(w: World) -> DataFrame:
     own = legs(w).filter("graph = 'fast'").drop("graph").join(scored(w, "live").select(
         "segment_id", "risk_score", "risk_level", "slope_risk", "historical_landslide_risk", "weather_risk", "incident_risk"), "segment_id")
-    return D.route_kpis(summary(w, "fast", "live"), own).select(*OD, "total_distance_km", "eta_text", "segments", "high_critical_segments", "worst_level")
+    return D.route_kpis(summary(w, "fast", "live"), own)
 
 
 @query("h19_initial_plans", """

@@ -126,14 +126,39 @@ def status_by_year(w: World) -> DataFrame:
     return S.status_by_year(dataset(w))
 
 
-NUMERIC = ["slope_deg", "elevation_m", "historical_landslide_count_prior", "annual_rainfall_mm", "monsoon_jun_sep_rainfall_mm", "max_daily_rainfall_mm"]
+COLUMNS = {
+    "number": [
+        "year", "distance_km", "slope_deg", "elevation_m", "landslide_hazard_score", "historical_landslide_count_prior",
+        "nearest_historical_landslide_distance_m_prior", "undated_historical_match_count", "rainfall_grid_lat", "rainfall_grid_lon",
+        "annual_rainfall_mm", "monsoon_jun_sep_rainfall_mm", "max_daily_rainfall_mm", "rainy_days_count", "rainfall_missing_days",
+        "event_report_count", "label",
+    ],
+    "text": ["segment_id", "road_type", "terrain_type", "label_status"],
+    "flag": ["event_day_precision"],
+}
+
+
+def profile_sql(c: str, kind: str) -> str:
+    shared = f"'{c}' as feature, '{kind}' as kind, count(*)-count({c}) as nulls, count(distinct {c}) as distinct_values"
+    if kind != "number":
+        none = ("min_value", "max_value", "mean_all", "spread", "p25", "p50", "p75", "mean_event", "correlation")
+        return f"select {shared}, " + ", ".join(f"cast(null as double) as {x}" for x in none) + " from {ox_dataset}"
+    quartile = ", ".join(f"quantile_disc({c}, {q})*1e0 as {n}" for n, q in (("p25", "0.25"), ("p50", "0.5"), ("p75", "0.75")))
+    corr = f"corr({c}, case when label_status='event' then 1e0 else 0e0 end)"
+    return (
+        f"select {shared}, min({c})*1e0 as min_value, max({c})*1e0 as max_value, " + rnd(f"avg({c})", 4) + " as mean_all, " + rnd(f"stddev_samp({c})", 4) + f" as spread, {quartile}, "
+        + rnd(f"avg(case when label_status='event' then {c} end)", 4) + f" as mean_event, case when not isnan({corr}) then " + rnd(corr, 4) + " end as correlation from {ox_dataset}"
+    )
 
 
-@query("e15_dataset_profile", " union all ".join(f"""
-    select '{c}' as feature, count(*)-count({c}) as nulls, count(distinct {c}) as distinct_values, min({c})*1e0 as min_value, max({c})*1e0 as max_value, """ + rnd(f"avg({c})", 4) + " as mean_all, "
-    + rnd(f"avg(case when label_status='event' then {c} end)", 4) + " as mean_event, " + rnd(f"corr({c}, case when label_status='event' then 1e0 else 0e0 end)", 4) + " as correlation from {ox_dataset}" for c in NUMERIC))
+@query("e15_dataset_profile", " union all ".join(profile_sql(c, kind) for kind, names in COLUMNS.items() for c in names))
 def dataset_profile(w: World) -> DataFrame:
-    return C.profile(dataset(w), NUMERIC)
+    return C.profile(dataset(w))
+
+
+@query("e15_label_counts", "select label_status, count(*) as rows, count(distinct segment_id) as segments, min(year) as first_year, max(year) as last_year from {ox_dataset} group by 1")
+def label_counts(w: World) -> DataFrame:
+    return C.label_counts(dataset(w))
 
 
 def _hot(c: str) -> list[str]:
@@ -223,11 +248,14 @@ def upland_evaluation(w: World) -> DataFrame:
     return rows.select("year", "n_events", "n_unlabeled", round_dp("rank_auc", 6).alias("rank_auc"))
 
 
-@query("k21_fold_assignment", """
-    select fold, (select count(distinct way_id) from {ox_dataset} where label_status='event')-sum(positive) as train_positive_groups, sum(positive) as val_positive_groups, sum(n) as val_rows from (
+define("ox_fold", """
       select *, case when cast(floor(r/5) as bigint)%2=0 then r%5 else 4-r%5 end as fold from (
         select g, n, positive, row_number() over (order by n desc, g)-1 as r from (
-          select cast(way_id as varchar) as g, count(*) as n, max(case when label_status='event' then 1 else 0 end) as positive from {ox_dataset} group by 1)))
+          select cast(way_id as varchar) as g, count(*) as n, max(case when label_status='event' then 1 else 0 end) as positive from {ox_dataset} group by 1))""")
+
+
+@query("k21_fold_assignment", """
+    select fold, (select count(distinct way_id) from {ox_dataset} where label_status='event')-sum(positive) as train_positive_groups, sum(positive) as val_positive_groups, sum(n) as val_rows from {ox_fold}
     group by 1""")
 def fold_assignment(w: World) -> DataFrame:
     f = features(w, False)
@@ -238,13 +266,17 @@ def fold_assignment(w: World) -> DataFrame:
     select name, v=0 as passed, v as violations from (
       select 'future_rainfall' as name, count(*) as v from {ox_dataset} d left join {ox_cell_year} c on c.lat=d.rainfall_grid_lat and c.lng=d.rainfall_grid_lon and c.year=d.year where c.annual_mm is distinct from d.annual_rainfall_mm
       union all select 'prior_cutoff', count(*) from {ox_dataset} d where historical_landslide_count_prior<(select count(*) from {ox_dataset} e where e.segment_id=d.segment_id and e.year<d.year and e.label_status='event')
-      union all select 'no_lifetime_feature', 0
-      union all select 'group_isolation', count(*) from (select segment_id from {ox_dataset} group by 1 having count(distinct way_id)>1)
+      union all select 'no_lifetime_feature', count(*) from {ox_dataset} d where historical_landslide_count_prior>(select count(*) from {ox_event} e where e.segment_id=d.segment_id and e.year<d.year)
+      union all select 'group_isolation', count(*) from (select segment_id from {ox_dataset} join {ox_fold} on g=cast(way_id as varchar) group by 1 having count(distinct fold)>1)
       union all select 'candidate_pool', count(*) from {ox_study_seg} where segment_id not in (select segment_id from {ox_dataset})
-      union all select 'sibling_grouping', count(*) from {ox_dataset} where label_status='event' and split_part(segment_id, '_', 2)<>cast(way_id as varchar)
+      union all select 'sibling_grouping', count(*) from (select d.way_id from {ox_dataset} d join {ox_fold} on g=split_part(d.segment_id, '_', 2) group by 1 having count(distinct fold)>1)
       union all select 'single_label', count(*) from (select segment_id, year from {ox_dataset} group by 1,2 having count(*)>1 or max(case when label_status='event' and label<>1 then 1 else 0 end)=1))""")
 def leakage_checks(w: World) -> DataFrame:
-    return C.leakage_checks(dataset(w), study_segments(w), cell_years(w), features(w, True))
+    """The checks read the columns of the saved model's pipeline and the rows as the folds deal them."""
+    f = features(w, False)
+    assigned = f.join(M.assign_folds(f).select("way_group", "fold"), "way_group")
+    model, _ = M.load_artifact(w.spark, artifact(w))
+    return C.leakage_checks(dataset(w), study_segments(w), events(w), cell_years(w), model.stages[0].getInputCols(), assigned)
 
 
 @query("k25_schema_fingerprint", """
@@ -307,15 +339,31 @@ def artifact(w: World) -> str:
     return w.__dict__["artifact"]
 
 
-@query("a10_model_manifest")
+@query("a10_model_manifest", f"""
+    select '{P.ML_EXPERIMENT_ID}' as experiment_id, count(*) as row_count, count(distinct segment_id) as segments, count(distinct year) as years, count_if(label_status='event') as event_rows,
+    count(distinct case when label_status='event' then segment_id end) as event_segments, '{"|".join(S.feature_names(False))}' as feature_names, {len(S.feature_names(False))} as feature_count,
+    substr(sha256('{"|".join(S.feature_names(False))}'), 1, 16) as schema_fingerprint, true as hash_of_rows""" + " from {ox_dataset}")
 def model_manifest(w: World) -> DataFrame:
-    return w.spark.read.json(f"{artifact(w)}/manifest")
+    """The manifest read back; the hash of the rows, which no SQL here shares, is held against the rows themselves."""
+    manifest = w.spark.read.json(f"{artifact(w)}/manifest")
+    rows = dataset(w).agg(M.rows_hash(dataset(w).columns).alias("_hash"))
+    return manifest.crossJoin(F.broadcast(rows)).withColumn("hash_of_rows", F.col("dataset_hash") == F.col("_hash")).drop("dataset_hash", "_hash")
 
 
 @query("k24_ml_risk_signal", """
-    select segment_id, slope_deg is not null and elevation_m is not null as available, case when slope_deg is null then 'slope_unavailable' when elevation_m is null then 'elevation_unavailable' else 'ok' end as reason from {ox_study_seg}""")
+    select segment_id, slope_deg is not null and elevation_m is not null as available, slope_deg is not null and elevation_m is not null as scored, case when slope_deg is null then 'slope_unavailable' when elevation_m is null then 'elevation_unavailable' else 'ok' end as reason from {ox_study_seg}""")
 def ml_risk_signal(w: World) -> DataFrame:
+    sane = F.col("score").isNotNull() & F.col("score").between(0, 1)
+    return risk_signal(w).select("segment_id", "available", sane.alias("scored"), "reason")
+
+
+@query("k24_ml_scores")
+def ml_scores(w: World) -> DataFrame:
+    """The advisory scores themselves, which follow from a fitted forest."""
+    return risk_signal(w)
+
+
+def risk_signal(w: World) -> DataFrame:
     model, names = M.load_artifact(w.spark, artifact(w))
     history = L.segment_history(events(w).select(F.col("segment_id").alias("matched_segment_id"), "distance_to_road_m", F.lit("MATCHED").alias("match_status")), study_segments(w))
-    signal = M.ml_risk_signal(study_segments(w).join(history, "segment_id"), model, names, as_of_year=2026)
-    return signal.select("segment_id", "available", "reason")
+    return M.ml_risk_signal(study_segments(w).join(history, "segment_id"), model, names, as_of_year=2026)

@@ -250,3 +250,57 @@ def test_clear_may_arrive_before_its_create(spark, tmp_path):
     assert len(names("snapshots")) >= 1 and len(names("batches")) < len(names("pointers")) + 4
     # hazard 3 is open; the mark of a clear without its create has gone with the watermark
     assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+
+
+def test_each_leakage_check_can_fail(spark):
+    """A sound table passes all seven checks; one fault at a time fails the check that is meant for it."""
+    from tarmetric.operators import quality as C
+
+    cells = [(26.0, 92.0, y, 100.0 + y) for y in (2015, 2016, 2017)]
+    events = [("seg_1_0", 2010), ("seg_1_0", 2015), ("seg_1_0", 2016), ("seg_2_0", 2016), ("seg_2_0", None)]
+    past = lambda s, y: sum(e == s and d is not None and d < y for e, d in events)
+    rows = []
+    for s in ("seg_1_0", "seg_1_1", "seg_2_0"):
+        for y in (2015, 2016, 2017):
+            hit = (s, y) in events
+            rows.append([s, y, 26.0, 92.0, 100.0 + y, past(s, y), "event" if hit else "unobserved", 1.0 if hit else None])
+    ways = [("seg_1_0", 1), ("seg_1_1", 1), ("seg_2_0", 2)]
+
+    def failed(rows=rows, inputs=("historical_landslide_count_prior",), fold=lambda s, y: int(s[4]), ways=ways):
+        schema = "segment_id string, year int, rainfall_grid_lat double, rainfall_grid_lon double, annual_rainfall_mm double, historical_landslide_count_prior bigint, label_status string, label double"
+        dataset = spark.createDataFrame(rows, schema)
+        dealt = spark.createDataFrame([(r[0], r[1], r[0][4], fold(r[0], r[1])) for r in rows], "segment_id string, year int, way_group string, fold int")
+        found = C.leakage_checks(
+            dataset, spark.createDataFrame(ways, "segment_id string, way_id bigint"), spark.createDataFrame(events, "segment_id string, year int"),
+            spark.createDataFrame(cells, "lat double, lng double, year int, annual_mm double"), list(inputs), dealt,
+        ).collect()
+        assert len(found) == 7 and all(r.passed == (r.violations == 0) for r in found)
+        return {r.name: r.violations for r in found if not r.passed}
+
+    def changed(i, at, value):
+        return [r[:at] + [value] + r[at + 1:] if k == i else r for k, r in enumerate(rows)]
+
+    assert failed() == {}
+    assert failed(changed(1, 4, 2115.0)) == {"future_rainfall": 1}
+    assert failed(changed(2, 5, 0)) == {"prior_cutoff": 1}
+    assert failed(changed(0, 5, 3)) == {"no_lifetime_feature": 1}
+    assert failed(inputs=["nearest_landslide_distance_m", "slope_deg"]) == {"no_lifetime_feature": 1}
+    assert failed(fold=lambda s, y: y % 2 if s == "seg_2_0" else 0) == {"group_isolation": 1, "sibling_grouping": 1}
+    assert failed(fold=lambda s, y: int(s[6])) == {"sibling_grouping": 1}
+    assert failed(ways=[*ways, ("seg_3_0", 3)]) == {"candidate_pool": 1}
+    assert failed([*rows, rows[4]]) == {"single_label": 1}
+    assert failed(changed(1, 7, 0.0)) == {"single_label": 1}
+
+
+def test_profile_of_every_column(spark):
+    from tarmetric.operators import quality as C
+
+    rows = [(i, None if i % 4 == 0 else float(i % 5), "ab"[i % 2], i % 3 == 0, "event" if i % 10 == 3 else "unobserved") for i in range(100)]
+    df = spark.createDataFrame(rows, "segment_id int, x double, t string, flag boolean, label_status string")
+    got = {r.feature: r for r in C.profile(df).collect()}
+    assert set(got) == set(df.columns) and {got[c].kind for c in ("segment_id", "x")} == {"number"} and got["t"].kind == "text" and got["flag"].kind == "flag"
+    x = sorted(v for _, v, *_ in rows if v is not None)
+    assert (got["x"].nulls, got["x"].distinct_values, got["x"].p50, got["x"].max_value) == (25, 5, x[(len(x) - 1) // 2], 4.0)
+    assert got["x"].mean_all == pytest.approx(sum(x) / len(x), abs=1e-4) and got["t"].mean_all is None and got["t"].distinct_values == 2
+    empty = C.profile(df.filter("false")).collect()
+    assert empty == []
