@@ -319,7 +319,17 @@ def forest_importances(w: World) -> DataFrame:
 @query("k19_leave_one_group_out")
 def leave_one_group_out(w: World) -> DataFrame:
     rows, names = training(w)
-    ranks, auc = M.leave_one_group_out(rows, lambda: M.logistic_regression(names))
+    return with_pooled(M.leave_one_group_out_jointly(rows, names))
+
+
+@query("k19_leave_one_group_out_forest")
+def leave_one_group_out_forest(w: World) -> DataFrame:
+    rows, names = training(w)
+    return with_pooled(M.leave_one_group_out(rows, lambda: M.random_forest(names)))
+
+
+def with_pooled(result: tuple[DataFrame, DataFrame]) -> DataFrame:
+    ranks, auc = result
     return ranks.crossJoin(F.broadcast(auc.select(F.col("rank_auc").alias("pooled_auc"))))
 
 

@@ -304,3 +304,31 @@ def test_profile_of_every_column(spark):
     assert got["x"].mean_all == pytest.approx(sum(x) / len(x), abs=1e-4) and got["t"].mean_all is None and got["t"].distinct_values == 2
     empty = C.profile(df.filter("false")).collect()
     assert empty == []
+
+
+def test_folds_fitted_together_equal_single_fits(spark):
+    """Coefficients of all folds equal those of one fit a fold, and so do the ranks; one feature is constant in a fold."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(600):
+        g, x = i % 12, rng.gauss(0, 1)
+        event = int(rng.random() < 1 / (1 + 2.7 ** (2 - 1.5 * x)) and g < 5)
+        rows.append((f"seg_{g}_{i}", 2015 + i % 3, "event" if event else "unobserved", "hill" if i % 2 else "plain", str(g), event, x, 1000 + 50 * rng.random(), float(g == 3)))
+    f = spark.createDataFrame(rows, "segment_id string, year int, label_status string, terrain_type string, way_group string, is_event int, a double, b double, c double")
+    names = ["a", "b", "c"]
+    groups, weights, intercept = M.fit_all_folds(f, names)
+    assert groups == sorted({r[4] for r in rows if r[5]}) and len(groups) >= 4
+    for i, g in enumerate(groups):
+        model = M.fit(f.filter(F.col("way_group") != g), M.logistic_regression(names, 300))
+        scaler, last = model.stages[1], model.stages[2]
+        std = scaler.std.toArray()
+        want = [c / s if s else 0.0 for c, s in zip(last.coefficients.toArray(), std)]
+        assert weights[i].tolist() == pytest.approx(want, rel=2e-2, abs=2e-3)
+        assert intercept[i] == pytest.approx(last.intercept - sum(v * m for v, m in zip(want, scaler.mean.toArray())), rel=2e-2, abs=0.2)
+    got, auc = M.leave_one_group_out_jointly(f, names)
+    want, auc2 = M.leave_one_group_out(f, lambda: M.logistic_regression(names, 300))
+    want = {(r.fold, r.segment_id, r.year): (r.percentile, r.within_terrain_percentile) for r in want.collect()}
+    got = {(r.fold, r.segment_id, r.year): (r.percentile, r.within_terrain_percentile) for r in got.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k][0] - want[k][0]) < 2 for k in want)
+    assert auc.first().rank_auc == pytest.approx(auc2.first().rank_auc, abs=5e-3)
+    assert M.fit_all_folds(f.filter("is_event = 0"), names)[0] == []
