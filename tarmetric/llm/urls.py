@@ -1,12 +1,15 @@
-"""URL filters: host endings joined to the hosts of the rules, and a sorted sweep of paths with nested rules.
+"""URL filters: a sort-merge range join of hosts under reversed-host keys, then of paths inside the rule hosts.
 
-A rule also fits subdomains, so a url has one key for each ending of its host that is the host of some rule;
-these are found by an equality join. Inside a rule host, paths and rules are sorted together; the rule that
-precedes a path and its stack of enclosing rules are all that can fit: a sweep carries that stack to the path
-and takes its innermost fitting rule. Of a url's keys the longest rule wins.
+A host is keyed by its labels from the last to the first, each closed by a point (``com.example.``), so that a host
+and all its subdomains are one interval that begins at the host's own key. Hosts and rule hosts are sorted together
+in ranges; the rule host that precedes a host, with its stack of enclosing rule hosts, holds all whose intervals are
+open there: the sweep carries that stack on, over the ends of ranges too, and the entries that are prefixes of the
+key fit. Paths are swept in the same way inside a rule host, with the stack of its nested paths. Of the fitting
+rules of a url the longest wins.
 
-Equal (host, path) are judged once. A busy rule host is dealt over several sorted runs, each with a copy of
-its rules, so a sweep holds at most about ``run_rows`` keys.
+Equal (host, path) are judged once. Ranges hold about ``run_rows`` distinct keys, and a busy rule host is dealt over
+several sorted runs, each with a copy of its paths, so no sweep grows with the table. The stack open at the start of
+each range is found by one pass over one row a range.
 
 Cases: a null url, or one without ``://``, has empty host and path; no fitting rule gives a null rule and the
 default verdict; repeated rows are kept; among rules of equal length the one with the longer host wins; an
@@ -18,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from tarmetric.llm.common import ascii_lower, literal_rows, table
+from tarmetric.session import materialize
 
 # Host, path, verdict.
 RULES = (
@@ -37,10 +41,44 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.regexp_extract(rest, r"^([^/?#]*)", 1)), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def host_endings(host: Column) -> Column:
-    """``c``, ``b.c``, ``a.b.c`` for ``a.b.c``."""
-    labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, -n, n), "."))
+def reversed_host(host: Column) -> Column:
+    """``com.example.`` for ``example.com``: the key of a host begins with the keys of all hosts above it."""
+    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
+
+
+def key_heads(key: Column) -> Column:
+    """``c.``, ``c.b.``, ``c.b.a.`` for ``c.b.a.``."""
+    labels = F.split(key, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda n: F.concat(F.array_join(F.slice(labels, 1, n), "."), F.lit(".")))
+
+
+def nested_hosts(rules: DataFrame) -> DataFrame:
+    """Rule hosts by key with ``open``: all rule hosts that enclose the host, outermost first, itself last."""
+    own = rules.select("host").distinct().select(reversed_host(F.col("host")).alias("key"), "host")
+    heads = own.select("key", F.explode(key_heads(F.col("key"))).alias("head"))
+    entry = F.struct(F.length("head").alias("n"), F.col("head").alias("key"), F.col("outer").alias("host"))
+    joined = heads.join(own.select(F.col("key").alias("head"), F.col("host").alias("outer")), "head")
+    return joined.groupBy("key").agg(F.array_sort(F.collect_list(entry)).alias("open"))
+
+
+def open_hosts(hosts: DataFrame, rules: DataFrame, run_rows: int) -> DataFrame:
+    """host, rule_host: the rule hosts whose intervals hold each distinct host."""
+    nested = nested_hosts(rules)
+    none = F.lit(None).cast(nested.schema["open"].dataType)
+    # a rule host stands before the host equal to it
+    events = nested.select("key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("host"), "open").union(
+        hosts.select(reversed_host(F.col("host")).alias("key"), F.lit(1).alias("kind"), "host", none.alias("open"))
+    )
+    events = materialize(events, "url-hosts")
+    ranges = max(1, -(-events.count() // run_rows))
+    # the ranges are written, so that a repeated task cannot cut them anew
+    ranged = materialize(events.repartitionByRange(ranges, "key", "kind").withColumn("range", F.spark_partition_id()), "url-host-ranges")
+    last = ranged.groupBy("range").agg(F.max_by("open", F.when(F.col("kind") == 0, F.col("key"))).alias("last"))  # one row a range
+    carried = last.select("range", F.last("last", ignorenulls=True).over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
+    sweep = W.partitionBy("range").orderBy("key", "kind").rowsBetween(W.unboundedPreceding, 0)
+    swept = ranged.withColumn("active", F.last("open", ignorenulls=True).over(sweep)).where("kind = 1")
+    swept = swept.join(carried, "range").withColumn("active", F.coalesce("active", "carried"))
+    return swept.select("host", F.explode(F.filter("active", lambda r: F.col("key").startswith(r["key"]))).alias("r")).select("host", F.col("r.host").alias("rule_host"))
 
 
 def nested_rules(rules: DataFrame) -> DataFrame:
@@ -57,8 +95,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, run_r
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     nested = nested_rules(rules)
-    keys = rows.select("host", "path").distinct().select("host", "path", F.explode(host_endings(F.col("host"))).alias("rule_host"))
-    keys = keys.join(rules.select(F.col("host").alias("rule_host")).distinct(), "rule_host")
+    hosted = rows.where("host <> ''")
+    urls = materialize(hosted.select("host", "path").distinct(), "url-keys")
+    opened = open_hosts(urls.select("host").distinct(), rules, run_rows)
+    keys = urls.join(opened, "host").select("rule_host", "host", "path")
     runs = keys.groupBy("rule_host").agg(F.ceil(F.count("*") / run_rows).cast("int").alias("runs"))
     dealt = keys.join(runs, "rule_host").select("rule_host", F.pmod(F.xxhash64("host", "path"), F.col("runs")).cast("int").alias("run"), "host", "path")
     copies = nested.withColumnRenamed("host", "rule_host").join(runs, "rule_host").select("rule_host", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.col("path").alias("key"), "stack")
@@ -78,9 +118,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, run_r
     best = swept.select("host", "path", "rule_host", inner.alias("r")).where("r is not null")
     rank = F.struct((F.length("rule_host") + F.col("r.n")).alias("n"), F.length("rule_host").alias("h"), F.concat("rule_host", "r.path").alias("rule"), F.col("r.verdict").alias("verdict"))
     verdicts = best.groupBy("host", "path").agg(F.max(rank).alias("best"))
-    return rows.join(verdicts, ["host", "path"], "left").select(
-        "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
-    )
+    # rows without a host fit no rule and would all meet in one task
+    judged = hosted.join(verdicts, ["host", "path"], "left").unionByName(rows.where("host = ''"), allowMissingColumns=True)
+    return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,10 +102,13 @@ def test_nested_paths_like_brute_force(spark):
     part = lambda n: "".join(f"/{c}" for c in rng.choice(list("ab"), n))
     rules = sorted({(".".join(rng.choice(["a", "b", "c"], rng.integers(1, 4))), part(rng.integers(0, 4)), "block") for _ in range(60)})
     rows = [(k, f"http://{'.'.join(rng.choice(['a', 'b', 'c'], rng.integers(1, 5)))}{part(rng.integers(0, 6))}") for k in range(300)]
+    rules += [("aa", "/", "block"), ("b.aa", "/", "block"), ("", "/", "block")]
+    rows += [(300, "http://b.aa/"), (301, "http://ba/"), (302, "http://c.b.aa/x" + "/y" * 50_000), (303, "http://a..b/a"), (304, "http://b./a"), (305, "http:///a")]
     got = {r["page_id"]: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), literal_rows(spark, rules, "host string,path string,verdict string"), run_rows=7).collect()}
+    assert len(got) == len(rows)
     for k, _ in rows:
         host, path = got[k]["host"], got[k]["path"]
-        fit = [(len(h + p), len(h), h + p) for h, p, _ in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        fit = [(len(h + p), len(h), h + p) for h, p, _ in rules if host and (host == h or host.endswith("." + h)) and path.startswith(p)]
         assert got[k]["rule"] == (max(fit)[2] if fit else None)
 
 
