@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tarmetric.operators import cells as C
 from tarmetric.operators import decisions as D
 from tarmetric.operators import routing as R
 from tarmetric.operators import trips as T
@@ -167,3 +168,40 @@ def test_trees_grown_backwards_give_forward_paths(spark):
     for key, path in b.items():
         assert path[0][0] == key[0] and path[-1][1] == key[1] and all(x[1] == y[0] for x, y in zip(path, path[1:], strict=False))
         assert sum(cost[s] for *_, s in path) == pytest.approx(sum(cost[s] for *_, s in a[key]))
+
+
+@pytest.mark.parametrize("places", [True, False])
+def test_routes_over_cells_cost_what_trees_cost(spark, places):
+    """A 12 x 12 grid in cells of 4 nodes, one-way streets, a part cut off and a long way round outside a pair's cell."""
+    rng = random.Random(5)
+    rows = []
+    for g in ("a", "b"):
+        for i in range(12):
+            for j in range(12):
+                for k, l in ((i + 1, j), (i, j + 1)):
+                    if k < 12 and l < 12 and (i, j) != (0, 0):
+                        u, v = 12 * i + j, 12 * k + l
+                        rows.append((g, u, v, rng.uniform(1, 9) * (40 if g == "b" and 2 < i < 8 and j == 5 else 1), f"s{u}_{v}"))
+                        if rng.random() < 0.8:
+                            rows.append((g, v, u, rng.uniform(1, 9), f"s{v}_{u}"))
+    rows.append(("a", 5, 6, 0.5, "twin"))
+    e = spark.createDataFrame(rows, EDGES)
+    wanted = [(g, o, d) for g in ("a", "b") for o, d in [(rng.randrange(144), rng.randrange(144)) for _ in range(60)] + [(0, 143), (143, 0), (7, 7), (5, 6), (900, 3)]]
+    where = spark.createDataFrame([(n, 26 + n // 12 * 0.05, 91 + n % 12 * 0.05) for n in range(144)], "node long, lat double, lng double") if places else None
+    req = spark.createDataFrame(wanted, REQUESTS)
+    legs = C.routes_between(e, req, where, leaf_bits=2)
+    cost = {(r.graph, r.origin, r.destination): r.cost for r in C.route_costs(legs, e).collect()}
+    trees = {(g, o): dijkstra([r[1:4] for r in rows if r[0] == g], o) for g, o, _ in set(wanted)}
+    assert cost.keys() == {(g, o, d) for g, o, d in wanted if o != d and d in trees[(g, o)]} and len(cost) > 100
+    assert all(c == pytest.approx(trees[k[:2]][k[2]], abs=1e-9) for k, c in cost.items())
+    paths = {}
+    for r in sorted(legs.collect(), key=lambda r: r.leg_idx):
+        paths.setdefault((r.graph, r.origin, r.destination), []).append(r)
+    for (_, o, d), p in paths.items():
+        assert [r.leg_idx for r in p] == list(range(len(p))) and p[0].u == o and p[-1].v == d
+        assert all(x.v == y.u for x, y in zip(p, p[1:], strict=False))
+    assert paths[("a", 5, 6)][0].segment_id == "twin"
+    # a cell beyond the limit: the label rounds give the same costs
+    few = spark.createDataFrame(wanted[:8], REQUESTS)
+    other = C.route_costs(C.routes_between(e, few, where, leaf_bits=2, max_nodes=3), e).collect()
+    assert other and all(r.cost == cost[(r.graph, r.origin, r.destination)] for r in other)
