@@ -205,3 +205,21 @@ def test_routes_over_cells_cost_what_trees_cost(spark, places):
     few = spark.createDataFrame(wanted[:8], REQUESTS)
     other = C.route_costs(C.routes_between(e, few, where, leaf_bits=2, max_nodes=3), e).collect()
     assert other and all(r.cost == cost[(r.graph, r.origin, r.destination)] for r in other)
+
+
+def test_alternatives_within_the_cells_of_a_route(spark):
+    """A grid with a stub that only one street reaches; a bridge whose other side no cell of the route tells."""
+    rows = []
+    for i in range(8):
+        for j in range(8):
+            rows += [(8 * i + j, 8 * k + l) for k, l in ((i + 1, j), (i, j + 1), (i - 1, j), (i, j - 1)) if 0 <= k < 8 and 0 <= l < 8 and 4 not in {*({j, l} if j != l else ())} or (i == k == 5)]
+    rows = [r for r in rows if 0 <= r[0] < 64 and 0 <= r[1] < 64] + [(9, 100), (100, 9), (63, 200)]
+    e = spark.createDataFrame([("g", u, v, 1.0 + (u * 7 + v) % 5 / 10, f"s{u}_{v}") for u, v in set(rows)], EDGES)
+    where = spark.createDataFrame([(n, 26 + n // 8 * 0.05, 91 + n % 8 * 0.05) for n in range(64)], "node long, lat double, lng double")
+    pairs = spark.createDataFrame([(o, d) for o in (0, 9, 27, 100) for d in (18, 63, 3, 100, 200)] + [(200, 5), (5, 5), (777, 3)], "origin long, destination long")
+    legs = C.routes_between(e, pairs.withColumn("graph", F.lit("g")), where, leaf_bits=2)
+    want = {(r.origin, r.destination): r.has_alternative for r in R.alternative_exists(e, legs, pairs).collect()}
+    for widenings in (1, 3):
+        got = {(r.origin, r.destination): r.has_alternative for r in C.alternative_exists(e, legs, pairs, where, leaf_bits=2, widenings=widenings).collect()}
+        assert got == want
+    assert set(want.values()) == {True, False}
