@@ -209,3 +209,18 @@ def test_raster_blocks_sample_like_the_grid(spark, tmp_path):
         assert got.keys() == want.keys()
         for i, e in want.items():
             assert got[i] == (None if e is None else pytest.approx(e, abs=1e-9))
+
+
+def test_exploded_rows_are_not_broadcast(spark):
+    """The size of exploded rows is estimated as that of their input, so they would go through the driver."""
+    from tarmetric.operators.skew import next_in_group, running_sum, salted_join
+
+    rows = spark.range(50).select("id", F.explode(F.sequence(F.lit(0), F.lit(400))).alias("i"))
+    summed = running_sum(rows, ["id"], "i", F.col("i"), "s", chunk=100)
+    nexts = next_in_group(rows, ["id"], ["i"], F.floor(F.col("i") / 100), ["i"])
+    joined = salted_join(spark.range(50).withColumnRenamed("id", "k"), rows.withColumnRenamed("id", "k"), ["k"])
+    for out in (summed, nexts, joined):
+        last = [line for line in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line and "LeftOuter" not in line][0]
+        assert "SortMergeJoin" in last
+    assert summed.filter("i = 400 and s = 80200").count() == 50
+    assert nexts.filter("next_i = i + 1").count() == 50 * 400 and joined.count() == 50 * 401
