@@ -223,3 +223,29 @@ def test_alternatives_within_the_cells_of_a_route(spark):
         got = {(r.origin, r.destination): r.has_alternative for r in C.alternative_exists(e, legs, pairs, where, leaf_bits=2, widenings=widenings).collect()}
         assert got == want
     assert set(want.values()) == {True, False}
+
+
+def test_only_the_variants_named_and_not_yet_written_are_routed(spark):
+    from tarmetric.plans.registry import World
+
+    w, built = World(spark, "unused"), []
+
+    def build(new):
+        built.append(list(new))
+        return spark.createDataFrame([(g, i) for g in new for i in (1, 2)], "graph string, x int")
+
+    assert w.keep_parts("t", "graph", ["fast"], build).count() == 2
+    got = w.keep_parts("t", "graph", ["fast", "safe", "calm"], build)
+    assert sorted(map(tuple, got.collect())) == [(g, i) for g in ("calm", "fast", "safe") for i in (1, 2)]
+    assert [r.graph for r in w.keep_parts("t", "graph", ["calm"], build).select("graph").distinct().collect()] == ["calm"]
+    assert built == [["fast"], ["safe", "calm"]]
+
+
+def test_small_networks_take_few_tasks(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        assert C._tasks(spark, 6000, C.ROWS_PER_TASK) == 2 * spark.sparkContext.defaultParallelism
+        assert C._tasks(spark, 10**9, C.ROWS_PER_TASK) == 200
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
