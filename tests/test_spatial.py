@@ -3,10 +3,11 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from tarmetric.functions.geo import edge_distance_km
 from tarmetric.functions.rounding import round_dp
+from tarmetric.operators import gridjoin as G
 from tarmetric.operators import network as N
 from tarmetric.operators import rainfall, zonation
 from tarmetric.operators import terrain as T
@@ -224,3 +225,22 @@ def test_exploded_rows_are_not_broadcast(spark):
         assert "SortMergeJoin" in last
     assert summed.filter("i = 400 and s = 80200").count() == 50
     assert nexts.filter("next_i = i + 1").count() == 50 * 400 and joined.count() == 50 * 401
+
+
+def test_near_queries_are_settled_in_the_cells_around_them(spark, monkeypatch):
+    rng = random.Random(11)
+    points = [(i, 26 + rng.random() * 0.03, 91.5 + rng.random() * 0.03) for i in range(300)] + [(1000 + i, -89.995, 179.999 - 40 * i) for i in range(9)]
+    points += [(2000, 10.0, 179.9995), (2001, 10.0, -179.9995), (2002, 10.02, 179.98)]
+    asked = [(f"q{i}", 26 + rng.random() * 0.03, 91.5 + rng.random() * 0.03) for i in range(40)] + [("far", 40.0, 100.0), ("pole", -89.99, 0.0), ("line", 10.0, 179.9999)]
+    q = spark.createDataFrame(asked, "qid string, lat double, lng double")
+    p = spark.createDataFrame(points, "id long, lat double, lng double")
+    walked = []
+    walk = G._walk_to_points
+    monkeypatch.setattr(G, "_walk_to_points", lambda rest, *a: walked.extend(r.qid for r in rest.collect()) or walk(rest, *a))
+    got = {(r.qid, r["rank"]): r.id for r in G.nearest_points(q, p, 2).collect()}
+    every = q.crossJoin(p.withColumnsRenamed({"lat": "_lat", "lng": "_lng"}))
+    d = G.round_dp(G.haversine_km(F.col("lat"), F.col("lng"), F.col("_lat"), F.col("_lng")), 7)
+    place = F.row_number().over(W.partitionBy("qid").orderBy(d, "id"))
+    want = {(r.qid, r["rank"]): r.id for r in every.withColumn("rank", place).filter("rank <= 2").collect()}
+    assert got == want
+    assert {"far", "pole", "line"} <= set(walked) and len(walked) < 10
