@@ -26,8 +26,8 @@ from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
@@ -37,6 +37,8 @@ LENGTH, END_ID = 4096, 2
 TOKENIZER = "word_bpe_49k.json"
 SENTENCE_PENALTY, INSIDE_PENALTY = 2.0, 24.0
 BLOCK = 1 << 18
+#: Texts taken from a batch and pieces without ids given out at once; pieces with ids are given out by blocks of tokens.
+TEXTS_HELD, ROWS_HELD = 256, 10_000
 RUNS_KEPT = 400_000
 _LETTERS = "A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u012f\\u0131-\\u024f"
 #: Texts whose letters are all Latin, without apostrophes, controls or special tokens: their letter runs and the runs
@@ -208,38 +210,48 @@ def pack_stream(docs: Iterator[tuple], length: int, sentence_ids: np.ndarray, bl
         yield from flush(True)
 
 
+def piece_batch(rows: list[tuple], base: int, with_ids: bool) -> pa.RecordBatch:
+    """Rows of :func:`pack_stream` as a batch; sequences are numbered from ``base``."""
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    *numbers, pieces = zip(*rows)
+    numbers[5] = [base + n for n in numbers[5]]
+    columns = [pa.array(n, pa.int64()) for n in numbers]
+    if with_ids:
+        ends = np.cumsum([0, *map(len, pieces)], dtype=np.int32)
+        columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(pieces).view(np.int32))))
+    return pa.RecordBatch.from_arrays(columns, names=[*names, *(["ids"] if with_ids else [])])
+
+
+def packed_batches(batches: Iterator[pa.RecordBatch], path: str, length: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """Pieces of one partition (``doc_id, text, _part``), given out by tokens, so a task holds few of them."""
+    known = piece_ids(path)
+    base = 0
+
+    def stream() -> Iterator[tuple]:
+        nonlocal base
+        for b in batches:
+            base = b["_part"][0].as_py() << 33 if b.num_rows else base
+            for at in range(0, b.num_rows, TEXTS_HELD):
+                part = b.slice(at, TEXTS_HELD)
+                yield from zip(part["doc_id"].to_pylist(), map(known.ids, part["text"].to_pylist()))
+
+    rows, tokens = [], 0
+    for row in pack_stream(stream(), length, np.array(sorted(known.ends), dtype=np.uint32)):
+        rows.append(row if with_ids else (*row[:-1], None))
+        tokens += row[2] if with_ids else 1
+        if tokens >= (BLOCK if with_ids else ROWS_HELD):
+            yield piece_batch(rows, base, with_ids)
+            rows, tokens = [], 0
+    if rows:
+        yield piece_batch(rows, base, with_ids)
+
+
 def pack_documents(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """Pieces of the packed sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and on demand their ids."""
     path = tokenizer or public_tokenizers.path(TOKENIZER)
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = piece_ids(path)
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
-        base, rows = 0, []
-
-        def stream() -> Iterator[tuple]:
-            nonlocal base
-            for b in batches:
-                base = int(b["_part"].iloc[0]) << 33 if len(b) else base
-                yield from zip(b["doc_id"], map(known.ids, b["text"]))
-
-        def frame(rows: list[tuple]) -> pd.DataFrame:
-            out = pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
-            if with_ids:
-                out["ids"] = [x.astype(np.int32) for x in out["ids"]]
-            out["sequence_id"] += base
-            return out
-
-        for row in pack_stream(stream(), length, np.array(sorted(known.ends), dtype=np.uint32)):
-            rows.append(row if with_ids else row[:-1])
-            if len(rows) >= 10_000:
-                yield frame(rows)
-                rows = []
-        if rows:
-            yield frame(rows)
-
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), "text", F.spark_partition_id().alias("_part")).mapInPandas(pack, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text", F.spark_partition_id().alias("_part")).mapInArrow(lambda batches: packed_batches(batches, path, length, with_ids), schema)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -130,6 +131,18 @@ def test_cuts_are_the_cheapest():
         assert math.isclose(cost, best[total]) and all(b - a <= length for a, b in zip(cuts, cuts[1:])), trial
 
 
+def test_packing_gives_pieces_out_by_tokens():
+    path = packing.public_tokenizers.path(packing.TOKENIZER)
+    text = "The river road is closed near the bridge. " * 400
+    given = pa.RecordBatch.from_pydict({"doc_id": list(range(400)), "text": [text] * 400, "_part": pa.array([3] * 400, pa.int32())})
+    got = list(packing.packed_batches(iter([given]), path, packing.LENGTH, True))
+    sizes = [sum(b["length"].to_pylist()) for b in got]
+    assert len(got) > 3 and max(sizes) <= packing.BLOCK + packing.LENGTH
+    own = np.concatenate([np.array(p, dtype=np.uint32) for b in got for d, p in zip(b["doc_id"].to_pylist(), b["ids"].to_pylist()) if d == 399])
+    assert (own == packing.piece_ids(path).ids(text)).all()
+    assert min(b["sequence_id"].to_pylist()[0] for b in got) == 3 << 33
+
+
 def test_packing_round_trip(spark):
     rows = [(k, prose(k, 300)) for k in range(40)] + [(50, None), (51, ""), (None, "x"), (52, "Ab, it's <|endoftext|> ß漢 1999"), (53, "word" * 9000), (40, "same"), (40, "same")]
     got = packing.pack_documents(docs(spark, rows).coalesce(2)).collect()
