@@ -75,8 +75,11 @@ def window_hash(hashes: Column, i: Column, width: int = WINDOW) -> Column:
     return F.xxhash64(*[F.get(hashes, i + k) for k in range(width)])
 
 
-def word_sequences(text: Column, body) -> Column:
-    """``body`` of (hashes of the words; words, hashes and types of the template), each computed once."""
+def word_sequences(text: Column, body, values: bool = True) -> Column:
+    """``body`` of (hashes of the words; words, hashes and types of the template), each computed once.
+
+    Without ``values`` the words of the template, which only its slots need, are left out.
+    """
     # splitting at what is no word takes a sixth of the time of extracting the words
     words = F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATOR), "")
 
@@ -84,9 +87,13 @@ def word_sequences(text: Column, body) -> Column:
         ends = F.sequence(F.lit(0), F.size(s["w"]) - 1)
         kept = F.filter(ends, lambda i: (F.get(s["t"], i) != NAME) | (F.coalesce(F.get(s["t"], i + 1), F.lit(0)) != NAME))
         kept = F.when(F.size(s["w"]) > 0, kept).otherwise(F.array().cast("array<int>"))
+
+        def slot(at: Column) -> list[Column]:
+            return [F.transform(at, lambda i: F.lower(F.get(s["w"], i))).alias("slot")] if values else []
+
         return let(kept, lambda at: let(
             F.struct(
-                s["h"].alias("h"), F.transform(at, lambda i: F.lower(F.get(s["w"], i))).alias("slot"), F.transform(at, lambda i: F.get(s["t"], i)).alias("type"),
+                s["h"].alias("h"), *slot(at), F.transform(at, lambda i: F.get(s["t"], i)).alias("type"),
                 F.transform(at, lambda i: F.when(F.get(s["t"], i) == 0, F.get(s["h"], i)).otherwise(F.get(s["t"], i).cast("long"))).alias("shown"),
             ), body))
 
@@ -102,6 +109,15 @@ def template_places(s: Column, least: int) -> Column:
     return F.filter(places(s["shown"]), lambda i: slots_in(s["type"], i).between(least, F.least(F.size(s["shown"]), F.lit(WINDOW)) - LEAST_PLAIN))
 
 
+def slot_places(s: Column) -> Column:
+    """:func:`template_places` with one slot at least, from the slots: most windows have none and are not looked at."""
+    size = F.size(s["shown"])
+    last = F.greatest(size - WINDOW, F.lit(0))
+    slots = F.filter(F.sequence(F.lit(0), size - 1), lambda i: F.get(s["type"], i) > 0)
+    starts = F.flatten(F.transform(slots, lambda i: F.sequence(F.greatest(i - (WINDOW - 1), F.lit(0)), F.least(i, last))))
+    return F.filter(F.array_distinct(starts), lambda i: slots_in(s["type"], i) <= F.least(size, F.lit(WINDOW)) - LEAST_PLAIN)
+
+
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """item_id, _item, words, template, at, h, slots of the windows of the items; written.
 
@@ -155,10 +171,10 @@ def document_hashes(docs: DataFrame, windows: DataFrame) -> DataFrame:
             return F.transform(places(s["h"], n), lambda i: window_hash(s["h"], i, n))
 
         parts = list(map(of_width, widths))
-        parts.append(F.transform(template_places(s, 1), lambda i: window_hash(s["shown"], i)))
+        parts.append(F.transform(slot_places(s), lambda i: window_hash(s["shown"], i)))
         return F.concat(*[F.filter(p, lambda h: may_hold(held, size, h)) for p in parts])
 
-    found = let(bits, lambda held: F.array_distinct(word_sequences(F.col("text"), lambda s: hashes(s, held))))
+    found = let(bits, lambda held: F.array_distinct(word_sequences(F.col("text"), lambda s: hashes(s, held), values=False)))
     rows = docs.select("doc_id", *row_key(), found.alias("_h"))
     # an inner explode would be given a filter on the array, which would make it twice
     return rows.select("doc_id", "_k1", "_k2", F.explode_outer("_h").alias("h")).where("h is not null")
