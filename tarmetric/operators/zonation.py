@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tarmetric import params as P
-from tarmetric.functions.geo import interpolate_along
+from tarmetric.functions.geo import edges_of, interpolate_along
 from tarmetric.functions.risk import class_score, hazard_level, lookup_or_fail
 from tarmetric.functions.rounding import round_dp
 from tarmetric.operators.gridjoin import containing_polygons
@@ -47,8 +47,9 @@ def point_zone(points: DataFrame, polygons: DataFrame, key: list[str]) -> DataFr
 def segment_samples(segments: DataFrame) -> DataFrame:
     """Five points along every segment: ``segment_id, frac, lat, lng``."""
     fractions = F.explode(F.array(*[F.lit(f) for f in P.ZONE_SAMPLE_FRACTIONS]))
-    spread = segments.select("segment_id", "geometry", "distance_km", fractions.alias("frac"))
-    spot = interpolate_along(F.col("geometry"), F.col("frac") * F.col("distance_km"))
+    cut = segments.select("segment_id", "geometry", "distance_km", edges_of(F.col("geometry")).alias("_edges"))
+    spread = cut.select("segment_id", "geometry", "distance_km", "_edges", fractions.alias("frac"))
+    spot = interpolate_along(F.col("geometry"), F.col("frac") * F.col("distance_km"), F.col("_edges"))
     return spread.withColumn("_p", spot).select("segment_id", "frac", F.col("_p.lat").alias("lat"), F.col("_p.lng").alias("lng"))
 
 

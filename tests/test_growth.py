@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tarmetric.operators import gridjoin as G
+from tarmetric.operators import gridjoin as G, zonation
 
 
 def plan_of(df):
@@ -48,3 +48,24 @@ def test_nearest_edge_is_kept_without_sorting_candidates(spark):
     assert "SortAggregate" not in plan_of(best)
     # two edges pass through the spot; the lower id wins
     assert [(r.dist_km, r.segment_id) for r in best.join(edges, "edge_no").collect()] == [(0.0, "flat")]
+
+
+def test_polygon_sides_are_cut_once_a_polygon_and_measure_nothing(spark):
+    ring = [{"lat": y, "lng": x} for y, x in ((0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0), (0.0, 0.0))]
+    polys = spark.createDataFrame([(1, ring)], "polygon_id bigint, ring array<struct<lat:double,lng:double>>")
+    spots = spark.createDataFrame([(1, 0.5, 0.5), (2, 2.0, 0.5), (3, 0.0, 0.5)], "id int, lat double, lng double")
+    inside = G.containing_polygons(spots, polys)
+    plan = plan_of(inside).lower()
+    assert "asin" not in plan
+    condition = [line for line in plan.splitlines() if "sortmergejoin" in line and "_iy" in line]
+    assert condition and not any("slice" in line for line in condition)
+    assert [r.id for r in inside.collect()] == [1]
+
+
+def test_samples_measure_a_segment_once(spark):
+    line = [{"lat": 26.0, "lng": 91.0}, {"lat": 26.0, "lng": 91.1}, {"lat": 26.1, "lng": 91.1}]
+    segments = spark.createDataFrame([("s", line, 21.0)], "segment_id string, geometry array<struct<lat:double,lng:double>>, distance_km double")
+    samples = zonation.segment_samples(segments)
+    above = plan_of(samples).lower().split("generate explode")[0]
+    assert "asin" not in above
+    assert samples.count() == 5
